@@ -161,14 +161,15 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """
     others = [c for c in df.columns if c != key]
     drawn = draw(df, key, text, source, carry=others).select(*df.columns, "pieces")
-    at, word = df.columns.index(text), re.compile(WORD)
+    at, width, word = df.columns.index(text), len(df.columns), re.compile(WORD)
     chars = df.columns.index(n_chars) if n_chars in df.columns else -1
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)], T.StructField("shard", T.LongType()), T.StructField("local", T.LongType())])
+    names = schema.names
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, texts, shards_, local = [], [], [], []
-            for i, (t, pieces) in enumerate(zip(b.column(at).to_pylist(), b.column(len(df.columns)).to_pylist())):
+            for i, (t, pieces) in enumerate(zip(b.column(at).to_pylist(), b.column(width).to_pylist())):
                 spans = [m.span() for m in word.finditer(t)] if pieces else []
                 for p in pieces:
                     rows.append(i)
@@ -180,7 +181,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
             columns[at] = pa.array(texts, b.column(at).type)
             if chars >= 0:
                 columns[chars] = pa.array([len(t) for t in texts], b.column(chars).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(shards_, pa.int64()), pa.array(local, pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shards_, pa.int64()), pa.array(local, pa.int64())], names)
 
     out = drawn.mapInArrow(stretches, schema).repartition("shard", F.pmod("local", F.lit(64))).sortWithinPartitions("shard", "local")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
