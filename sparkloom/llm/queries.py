@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, ctph, media, mixing, sharding, simhash, suffix_dedup
+from sparkloom.llm import bpe, ctph, langid, media, mixing, sharding, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": suffix_dedup.op5,
     "op6_mixing": mixing.op6,
     "op7_media": media.op7,
+    "op8_langid": langid.op8,
     "op10_simhash": simhash.op10,
 }
 
