@@ -67,6 +67,13 @@ class Scratch:
         out._staged_path = path
         return out
 
+    def stage_by(self, df: DataFrame, key: str, buckets: int, compression: str = "zstd") -> DataFrame:
+        """Write a table bucketed by ``key``: joins and groups on it don't move its rows again."""
+        self._n += 1
+        name = f"loom_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("compression", compression).option("path", f"{self.path}/t{self._n}").saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a staged table that no later plan reads."""
         path = getattr(df, "_staged_path", None)
