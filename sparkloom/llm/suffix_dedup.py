@@ -6,14 +6,17 @@ Goal: remove each byte that a string of ``MATCH`` bytes covers which also starts
 2. Every window of MATCH bytes has an anchor, the least-hashed GRAM-byte string in it, so equal windows
    have equal anchors wherever they stand. Blocks send the hashes of their anchors, once each, and learn
    which anchors other documents have too. No other window can match; its suffixes need not be sorted.
-3. Each block sorts the remaining suffixes: one string for the whole run of windows on an anchor where all
-   the corpus agrees on that string, else one for each window. Equal strings of a block are one entry with
-   the least key. The sorted run is front-coded, cut at splitters and exchanged.
+3. Each block sorts the suffixes at its remaining anchors, each with the bytes before the anchor behind it,
+   as far as windows on that anchor reach. Equal strings of a block are one entry with the least key. The
+   sorted run is front-coded, cut at splitters and exchanged.
 4. For each key range a loser tree merges the runs. A node remembers how long a prefix its loser shares with
-   the last output, so known prefixes are never compared again. Equal strings come out in a row; what comes
-   from a run whose least key is above the global one is marked, and one bit an entry goes back.
+   the last output, so known prefixes are never compared again. The prefixes shared in sorted order (and those
+   of the bytes before the anchors) say which windows on an anchor are equal; a bit for each window of an
+   entry, whether a smaller key has it, goes back.
 5. Blocks put the marked windows together and cut them out of the documents.
 
+An anchor that more than GROUP strings hold is not merged as a group: its windows are sorted as strings of
+their own, so equal ones are one entry a block and no group of strings has to meet in a task.
 All sizes in a task are bounded by the block size or the number of ranges; a string that a third of the
 documents share is one entry a block.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +41,10 @@ MATCH, GRAM, BLOCK_BYTES = 50, 24, 2 << 20
 BUCKET_BYTES, RANGE_BYTES = 24 << 20, 16 << 20
 _LAST = (1 << 63) - 1
 _SPREAD = MATCH - GRAM
-#: The longest string, then its length as one byte: all sort keys have one width.
-_WIDTH = MATCH + _SPREAD + 1
+#: Strings that hold one anchor beyond which its windows are sorted one by one.
+GROUP = 4096
+#: A sort key: 0, the bytes from the anchor on, those before it backwards, both lengths; or 1 and a window.
+_WIDTH = 1 + MATCH + _SPREAD + 2
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 _BLOCK = "block long, extra binary, ords binary, lens binary, text binary, sample binary, bytes long"
@@ -64,7 +70,7 @@ def _from_planes(b: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _blocks(it: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[pa.RecordBatch]:
+def _blocks(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Packs rows (ord, text, extras ...) into blocks; a document is never split."""
     part, seq = TaskContext.get().partitionId(), 0
     extras: list[pa.RecordBatch] = []
@@ -111,7 +117,7 @@ class _Anchors:
     def __init__(self, text: np.ndarray, lens: np.ndarray) -> None:
         n = len(text)
         self.text = text
-        self.p1 = self.p2 = self.doc = np.empty(0, np.int64)
+        self.p1 = self.p2 = self.doc = self.anchor = np.empty(0, np.int64)
         self.gram = self.whole = np.empty(0, np.uint64)
         if n < MATCH:
             return
@@ -141,27 +147,27 @@ class _Anchors:
         good = ok[p1]
         self.p1, self.p2 = p1[good], p2[good]
         self.doc = doc[self.p1]
-        self.gram = h[anchor[self.p1]]
+        self.gram = (h[anchor[self.p1]] * _C[1]) >> np.uint64(16)  # anchors are least hashes; this spreads them again
         # Four hashed grams cover the string from its first to its last byte.
         mix = h[self.p1] * _C[0] + h[self.p1 + GRAM] * _C[1] + h[self.p2 + 2] * _C[2] + h[self.p2 + _SPREAD] * _C[4] + (self.p2 - self.p1).astype(np.uint64)
-        mix ^= mix >> np.uint64(31)
-        self.whole = (mix * _C[3]) >> np.uint64(24)
-        self.gram = self.gram >> np.uint64(16)
+        self.whole = (mix ^ (mix >> np.uint64(31))) * _C[3]
+        self.anchor = anchor[self.p1]
         assert not len(ends) or ends[-1] == n
 
-    def pairs(self, ords: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (gram, whole), sorted, whether two keys have the pair, and each run's pair."""
+    def strings(self, ords: np.ndarray) -> dict[str, np.ndarray]:
+        """Distinct strings by anchor: their least key, a run that has it, each run's string (at), each string's anchor (of);
+        the anchors' hashes, sorted, how many strings each has, and whether two keys have it."""
         order = np.lexsort((self.whole, self.gram))
         g, w, o = self.gram[order], self.whole[order], ords[self.doc[order]]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1])
-        first = np.flatnonzero(new)
-        if not len(first):
-            return g, w, np.empty(0, bool), np.empty(0, np.int64)
-        multi = np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first)
+        new_gram, new = np.ones(len(g), bool), np.ones(len(g), bool)
+        new_gram[1:] = g[1:] != g[:-1]
+        new[1:] = new_gram[1:] | (w[1:] != w[:-1])
+        first, grams = np.flatnonzero(new), np.flatnonzero(new_gram)
         at = np.empty(len(g), np.int64)
         at[order] = np.cumsum(new) - 1
-        return g[first], w[first], multi, at
+        low = lambda f, x, i: f.reduceat(x, i) if len(i) else x
+        of = (np.cumsum(new_gram) - 1)[first]
+        return {"gram": g[grams], "n": np.bincount(of, minlength=len(grams)), "multi": low(np.minimum, o, grams) != low(np.maximum, o, grams), "least": low(np.minimum, o, first), "run": order[first], "at": at, "of": of}
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,33 +186,34 @@ def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
     for row in _rows(batches):
         text, lens, ords = _open(row)
-        g, w, multi, _ = _Anchors(text, lens).pairs(ords)
+        found = _Anchors(text, lens).strings(ords)
+        g, n, multi = found["gram"], np.minimum(found["n"], 255).astype(np.uint8), found["multi"]
         cut = np.searchsorted(_bucket(g, buckets), np.arange(buckets + 1, dtype=np.uint64))
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
         for b in np.flatnonzero(np.diff(cut)).tolist():
             s, e = int(cut[b]), int(cut[b + 1])
-            for x, v in zip(out, (b, row["block"], e - s, _planes(np.diff(g[s:e], prepend=np.uint64(0)), 6), _planes(w[s:e], 5), np.packbits(multi[s:e]).tobytes())):
+            deltas = _planes(np.diff(g[s:e], prepend=g[s : s + 1]), 6)
+            for x, v in zip(out, (b, row["block"], e - s, int(g[s]), zstandard.compress(deltas, 1), _pack(n[s:e]), np.packbits(multi[s:e]).tobytes())):
                 x.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "block", "n", "grams", "wholes", "multi"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["bucket", "block", "n", "base", "grams", "strings", "multi"])
 
 
 def _judge_anchors(t: pa.Table) -> pa.Table:
-    """For each sent pair: 0 if no other document has the gram, 1 if all that have it agree on the string, 2 if not."""
+    """For each sent anchor: 0 if no other document has it, 1 if some do, 2 if more than GROUP strings hold it."""
     ns = t["n"].to_numpy()
-    g = np.concatenate([np.cumsum(_from_planes(x.as_py(), 6), dtype=np.uint64) for x in t["grams"]])
-    w = np.concatenate([_from_planes(x.as_py(), 5) for x in t["wholes"]])
+    g = np.concatenate([np.cumsum(_from_planes(zstandard.decompress(x.as_py()), 6), dtype=np.uint64) + np.uint64(b) for x, b in zip(t["grams"], t["base"].to_pylist())])
+    held = np.concatenate([_unpack(x.as_py(), np.uint8) for x in t["strings"]]).astype(np.int64)
     multi = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(t["multi"], ns)]).astype(bool)
-    order = np.lexsort((w, g))
-    sg, sw, sm = g[order], w[order], multi[order]
+    order = np.argsort(g, kind="stable")
+    sg = g[order]
     new = np.ones(len(sg), bool)
     new[1:] = sg[1:] != sg[:-1]
     first = np.flatnonzero(new)
-    other = np.zeros(len(sg), np.int64)
-    other[1:] = ~new[1:] & (sw[1:] != sw[:-1])
     size = np.diff(np.append(first, len(sg)))
-    verdict = np.where(np.add.reduceat(other, first) > 0, 2, np.where((size > 1) | np.logical_or.reduceat(sm, first), 1, 0)).astype(np.uint8)
+    verdict = np.where(np.add.reduceat(held[order], first) > GROUP, 2, (size > 1) | np.logical_or.reduceat(multi[order], first)).astype(np.uint8)
     flags = np.empty(len(sg), np.uint8)
     flags[order] = np.repeat(verdict, size)
     ends = np.cumsum(ns)
@@ -214,50 +221,65 @@ def _judge_anchors(t: pa.Table) -> pa.Table:
     return pa.table({"bucket": t["bucket"], "block": t["block"], "flags": pa.array(packed, pa.binary())})
 
 
+def _sorted_keys(keys: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the least key of each, and each row's place among them."""
+    order = np.argsort(keys.view(f"S{_WIDTH}").ravel(), kind="stable")
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+    first = np.flatnonzero(new)
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    return keys[first], np.minimum.reduceat(least[order], first) if len(first) else least, entry
+
+
 def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
     """A block's sorted, front-coded run by range, and (range -1) where its entries stand in the block."""
-    names = ["range", "block", "n", "lcps", "tails", "ords"]
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    edges = np.array([s.ljust(16, b"\0") for s in splitters], "S16")
+    names = ["range", "block", "n", "lcps", "tails", "ords", "spots"]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    edges = np.array([int.from_bytes((bytes([c]) + s).ljust(8, b"\0")[:8], "big") for c in (0, 1) for s in (b"", *splitters)][1:], np.uint64)
+    forward, back = np.arange(MATCH), np.arange(_SPREAD)
     for row in _rows(batches):
-        if not row["found"]:
-            continue
         text, lens, ords = _open(row)
         a = _Anchors(text, lens)
-        at = a.pairs(ords)[3]
-        flags = np.concatenate([_unpack(x["flags"], np.uint8) for x in sorted(row["found"], key=lambda x: x["bucket"])])[at]
-        one, each = flags == 1, flags == 2
-        counts = (a.p2 - a.p1 + 1)[each]
-        lead = np.repeat(np.cumsum(counts) - counts, counts)
-        starts = np.concatenate((a.p1[one], np.repeat(a.p1[each], counts) + np.arange(counts.sum()) - lead))
-        size = np.concatenate((a.p2[one] - a.p1[one] + MATCH, np.full(counts.sum(), MATCH, np.int64)))
-        own = ords[np.concatenate((a.doc[one], np.repeat(a.doc[each], counts)))]
-        if not len(starts):
+        found = a.strings(ords)
+        flags = np.concatenate([_unpack(x["flags"], np.uint8) for x in sorted(row["found"], key=lambda x: x["bucket"])])[found["of"]]
+        shared = np.flatnonzero(flags)
+        if not len(shared):
             continue
-        padded = np.concatenate((text, np.zeros(_WIDTH, np.uint8)))
-        keys = padded[starts[:, None] + np.arange(_WIDTH)]
-        keys[np.arange(_WIDTH) >= size[:, None]] = 0
-        keys[:, -1] = size
-        order = np.argsort(keys.view(f"S{_WIDTH}").ravel(), kind="stable")
-        keys, own_sorted = keys[order], own[order]
-        differs = keys[1:] != keys[:-1]
-        new = np.concatenate(([True], differs.any(axis=1)))
-        first = np.flatnonzero(new)
-        least = np.minimum.reduceat(own_sorted, first)
-        entry = np.empty(len(starts), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        keys = np.ascontiguousarray(keys[first])
-        lcp = np.concatenate(([0], (keys[1:] != keys[:-1]).argmax(axis=1))).astype(np.uint8)
-        cut = np.searchsorted(np.ascontiguousarray(keys[:, :16]).view("S16").ravel(), edges)
-        cut = np.concatenate(([0], cut, [len(keys)]))
-        out: list[list] = [[-1], [row["block"]], [len(starts)], [_pack(starts.astype("<u4"))], [_pack(size.astype(np.uint8))], [_pack(np.concatenate((entry, (own > least[entry]).astype(np.int64))).astype("<u4"))]]
+        hot, run, low = flags[shared] == 2, found["run"][shared], found["least"][shared]
+        counts = (a.p2 - a.p1 + 1)[run]
+        padded = np.concatenate((np.zeros(_SPREAD, np.uint8), text, np.zeros(_WIDTH, np.uint8)))
+        # Strings around their anchors.
+        r = run[~hot]
+        at, right, left = a.anchor[r] + _SPREAD, a.p2[r] + MATCH - a.anchor[r], a.anchor[r] - a.p1[r]
+        keys = np.zeros((len(r), _WIDTH), np.uint8)
+        keys[:, 1 : MATCH + 1] = np.where(forward < right[:, None], padded[at[:, None] + forward], 0)
+        keys[:, MATCH + 1 : -2] = np.where(back < left[:, None], padded[at[:, None] - 1 - back], 0)
+        keys[:, -2], keys[:, -1] = right, left + 1
+        # Each window of the strings on crowded anchors.
+        n = counts[hot]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        each = np.zeros((len(offset), _WIDTH), np.uint8)
+        each[:, 0] = each[:, -1] = 1
+        each[:, 1 : MATCH + 1] = padded[(np.repeat(a.p1[run[hot]], n) + offset + _SPREAD)[:, None] + forward]
+        keys, least, entry = _sorted_keys(np.concatenate((keys, each)), np.concatenate((low[~hot], np.repeat(low[hot], n))))
+        lcp = np.zeros(len(keys), np.uint8)
+        lcp[1:] = (keys[1:] != keys[:-1]).argmax(axis=1)
+        lead = np.ascontiguousarray(keys[:, :8]).view(">u8").ravel().astype(np.uint64)
+        cut = np.concatenate(([0], np.searchsorted(lead, edges), [len(keys)]))
+        place = np.full(len(flags), -1, np.int64)
+        place[shared] = np.arange(len(shared))
+        place = place[found["at"]]
+        there = np.flatnonzero(place >= 0)
+        spots = {"at": _pack(a.p1[there].astype("<u4")), "string": _pack(place[there].astype("<u4")), "hot": _pack(hot), "counts": _pack(counts.astype(np.uint8)), "entry": _pack(entry.astype("<u4")), "least": _pack(least.astype("<i8"))}
+        out: list[list] = [[-1], [row["block"]], [len(keys)], [None], [None], [None], [pickle.dumps(spots)]]
         columns = np.arange(_WIDTH)
-        for r in np.flatnonzero(np.diff(cut)).tolist():
-            s, e = int(cut[r]), int(cut[r + 1])
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            s, e = int(cut[i]), int(cut[i + 1])
             k = lcp[s:e].copy()
             k[0] = 0
-            tails = keys[s:e][columns >= k[:, None]]
-            for x, v in zip(out, (r, row["block"], e - s, k.tobytes(), _pack(tails), least[s:e].astype("<i8").tobytes())):
+            for x, v in zip(out, (i, row["block"], e - s, _pack(k), _pack(keys[s:e][columns >= k[:, None]]), _pack(least[s:e].astype("<i8")), None)):
                 x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
 
@@ -332,44 +354,106 @@ class LoserTree:
             r = self._climb(r)
 
 
+def _matrix(lcps: np.ndarray, tails: bytes) -> np.ndarray:
+    """The strings of a front-coded run, a row each."""
+    columns = np.arange(_WIDTH)
+    own = columns >= lcps[:, None]
+    out = np.zeros((len(lcps), _WIDTH), np.uint8)
+    out[own] = np.frombuffer(tails, np.uint8)
+    source = np.maximum.accumulate(np.where(own, np.arange(len(lcps))[:, None], 0), axis=0)
+    return out[source, columns]
+
+
+def _lower(groups: np.ndarray, ords: np.ndarray) -> np.ndarray:
+    """Whether another member of its group has a smaller key."""
+    order = np.argsort(groups, kind="stable")
+    g = groups[order]
+    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    out = np.empty(len(g), bool)
+    out[order] = np.repeat(np.minimum.reduceat(ords[order], first), np.diff(np.append(first, len(g)))) < ords[order]
+    return out
+
+
 def _merge(t: pa.Table) -> pa.Table:
-    """For each run of a range, a bit for each entry: does a smaller key have the string?"""
-    blocks = t["block"].to_pylist()
-    runs = [(list(lcps.as_py()), zstandard.decompress(tails.as_py())) for lcps, tails in zip(t["lcps"], t["tails"])]
-    ords = [np.frombuffer(x.as_py(), "<i8").tolist() for x in t["ords"]]
-    bits = [bytearray(len(x)) for x in ords]
-    group: list[tuple[int, int]] = []
-
-    def close() -> None:
-        if len(group) > 1:
-            least = min(ords[r][i] for r, i in group)
-            for r, i in group:
-                if ords[r][i] > least:
-                    bits[r][i] = 1
-
-    for r, i, shared in LoserTree(runs, _WIDTH):
-        if shared < _WIDTH:
-            close()
-            group = []
-        group.append((r, i))
-    close()
-    return pa.table({"range": t["range"], "block": pa.array(blocks, pa.int64()), "bits": pa.array([np.packbits(np.frombuffer(x, np.uint8)).tobytes() for x in bits], pa.binary()), "n": t["n"]})
+    """For each run of a range, a bit for each window of each entry: does a smaller key have it?"""
+    coded = [(_unpack(lcps.as_py(), np.uint8), zstandard.decompress(tails.as_py())) for lcps, tails in zip(t["lcps"], t["tails"])]
+    sizes = np.array([len(k) for k, _ in coded])
+    starts = np.cumsum(sizes) - sizes
+    merged = np.array([(r, i, shared) for r, i, shared in LoserTree([(k.tolist(), tails) for k, tails in coded], _WIDTH)], np.int64)
+    flat, shared = starts[merged[:, 0]] + merged[:, 1], merged[:, 2]
+    keys = np.concatenate([_matrix(k, tails) for k, tails in coded])[flat]
+    ords = np.concatenate([_unpack(x.as_py(), "<i8") for x in t["ords"]])[flat]
+    hot = keys[:, 0] == 1
+    right, left = keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64) - 1
+    bits = np.zeros((len(keys), _SPREAD + 1), bool)  # by window, in the order of their starts counted from the last back: bytes before the anchor
+    valid = np.zeros_like(bits)
+    if hot.any():
+        at = np.flatnonzero(hot)
+        valid[at, 0] = True
+        bits[at, 0] = _lower(np.cumsum(shared < _WIDTH)[at], ords[at])
+    group = np.cumsum(shared < 1 + GRAM)
+    at = np.flatnonzero(~hot)
+    if len(at):
+        before = np.arange(_SPREAD + 1)
+        valid[at] = (before <= left[at][:, None]) & (MATCH - before <= right[at][:, None])
+        many = np.bincount(group[at])[group[at]] > 1
+        at = at[many]
+    if len(at):
+        # Classes of equal bytes before the anchor, from their own sorted order and its shared prefixes.
+        tags = np.concatenate((group[at].astype(">u8").view(np.uint8).reshape(-1, 8), keys[at, MATCH + 1 : -2]), axis=1)
+        tags = np.concatenate((tags, np.ones((len(at), 1), np.uint8)), axis=1)
+        order = np.argsort(np.ascontiguousarray(tags).view(f"S{tags.shape[1]}").ravel(), kind="stable")
+        tags = tags[order]
+        differs = np.full(len(at), 0)
+        unequal = tags[1:] != tags[:-1]
+        differs[1:] = np.where(unequal.any(axis=1), unequal.argmax(axis=1), tags.shape[1])
+        for o in range(_SPREAD + 1):
+            behind = np.empty(len(at), np.int64)
+            behind[order] = np.cumsum(differs < 8 + o)
+            ahead = np.cumsum(shared < 1 + MATCH - o)[at]
+            ok = valid[at, o]
+            if ok.any():
+                bits[at[ok], o] = _lower(behind[ok] * (len(shared) + 1) + ahead[ok], ords[at[ok]])
+    back = np.empty(len(flat), np.int64)
+    back[flat] = np.arange(len(flat))
+    packed, counts = [], []
+    for s, n in zip(starts.tolist(), sizes.tolist()):
+        rows = back[s : s + n]
+        own = bits[rows][:, ::-1][valid[rows][:, ::-1]]
+        packed.append(np.packbits(own).tobytes())
+        counts.append(len(own))
+    return pa.table({"range": t["range"], "block": t["block"], "bits": pa.array(packed, pa.binary()), "n": pa.array(counts, pa.int32())})
 
 
 def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        text, lens, _ = _open(row)
-        covered = np.zeros(len(text) + 1, np.int32)
+        text, lens, ords = _open(row)
+        ends = np.cumsum(lens)
+        covered = np.zeros(len(text) + 1, np.int64)
         if row["spots"]:
-            spots = row["spots"][0]
-            starts, size = _unpack(spots["lcps"], "<u4").astype(np.int64), _unpack(spots["tails"], np.uint8).astype(np.int64)
-            entry, mine = np.split(_unpack(spots["ords"], "<u4"), 2)
-            got = sorted(row["bits"] or [], key=lambda x: x["range"])
-            bits = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in got])
-            hit = (bits[entry] | mine).astype(bool)
-            covered += np.bincount(starts[hit], minlength=len(text) + 1).astype(np.int32) - np.bincount((starts + size)[hit], minlength=len(text) + 1).astype(np.int32)
+            x = pickle.loads(row["spots"][0])
+            at, string, counts = _unpack(x["at"], "<u4").astype(np.int64), _unpack(x["string"], "<u4"), _unpack(x["counts"], np.uint8).astype(np.int64)
+            hot, entry, least = _unpack(x["hot"], bool), _unpack(x["entry"], "<u4").astype(np.int64), _unpack(x["least"], "<i8")
+            bits = np.concatenate([np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=b["n"]) for b in sorted(row["bits"], key=lambda b: b["range"])]).astype(bool)
+            # Where the bit of each window of each string stands, and the least key of its entry.
+            plain = int((~hot).sum())
+            width = np.ones(len(least), np.int64)
+            width[entry[:plain]] = counts[~hot]
+            place = np.cumsum(width) - width
+            window = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            is_hot = np.repeat(hot, counts)
+            own_entry = np.empty(len(window), np.int64)
+            own_entry[~is_hot] = np.repeat(entry[:plain], counts[~hot])
+            own_entry[is_hot] = entry[plain:]
+            bit = bits[place[own_entry] + np.where(is_hot, 0, window)]
+            own = ords[np.searchsorted(ends, at, "right")]
+            n = counts[string]
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            which = np.repeat((np.cumsum(counts) - counts)[string], n) + offset
+            hit = bit[which] | (np.repeat(own, n) > least[own_entry[which]])
+            start = (np.repeat(at, n) + offset)[hit]
+            covered += np.bincount(start, minlength=len(text) + 1) - np.bincount(start + MATCH, minlength=len(text) + 1)
         gone = np.cumsum(covered[:-1]) > 0
-        ends = np.cumsum(lens)
         extra = pa.ipc.open_stream(zstandard.decompress(row["extra"])).read_all().combine_chunks()
         out: list[list] = [[], [], [], [], []]
         for e, n in zip(ends.tolist(), lens.tolist()):
@@ -403,26 +487,26 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
     scratch = Scratch(spark, "suffix")
     carried = [key, *(carry or [])]
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("__ord"), F.col(text).alias("__text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])
-    made = rows.mapInArrow(lambda it: _blocks(it, 0, block_bytes), _BLOCK)
-    blocks = scratch.stage(made, "uncompressed")
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets, ranges = max(partitions(spark), -(-total // BUCKET_BYTES)), max(partitions(spark), -(-total // RANGE_BYTES))
+    made = rows.mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK)
+    blocks = scratch.stage_by(made, "block", max(partitions(spark), -(-total // (32 * block_bytes))), "uncompressed")
     # Splitters come from a bounded sample; they only balance the ranges.
     seen = blocks.select("sample", F.xxhash64("block").alias("h")).orderBy("h").limit(2000).select("sample").collect()
     sample = sorted(s[i : i + 16] for (s,) in seen for i in range(0, len(s), 16))
     splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     body = blocks.select("block", "ords", "lens", "text")
 
-    sent = body.mapInArrow(lambda it: _send_anchors(it, buckets), "bucket int, block long, n int, grams binary, wholes binary, multi binary")
+    sent = body.mapInArrow(lambda it: _send_anchors(it, buckets), "bucket int, block long, n int, base long, grams binary, strings binary, multi binary")
     judged = sent.groupBy("bucket").applyInArrow(_judge_anchors, "bucket int, block long, flags binary")
     found = judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("found"))
-    runs = scratch.stage(body.join(found, "block").mapInArrow(lambda it: _runs(it, splitters), "range int, block long, n int, lcps binary, tails binary, ords binary"))
+    runs = scratch.stage(body.join(found, "block").mapInArrow(lambda it: _runs(it, splitters), "range int, block long, n int, lcps binary, tails binary, ords binary, spots binary"))
     merged = runs.where("range >= 0").groupBy("range").applyInArrow(_merge, "range int, block long, bits binary, n int")
     bits = merged.groupBy("block").agg(F.collect_list(F.struct("range", "bits", "n")).alias("bits"))
-    spots = runs.where("range = -1").groupBy("block").agg(F.collect_list(F.struct("lcps", "tails", "ords")).alias("spots"))
+    spots = runs.where("range = -1").groupBy("block").agg(F.collect_list("spots").alias("spots"))
     fields = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept_sha256", pa.string()), pa.field("kept_text", pa.string())]
     schema = T.StructType([*[T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carried)], *[T.StructField(f.name, T.LongType() if pa.types.is_int64(f.type) else T.StringType()) for f in fields]])
-    joined = blocks.select("block", "extra", "ords", "lens", "text").join(spots, "block", "left").join(bits, "block", "left")
+    joined = blocks.select("block", "extra", "ords", "lens", "text").join(spots.join(bits, "block"), "block", "left")
     out = joined.mapInArrow(lambda it: _cut(it, pa.schema(fields)), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], *[f.name for f in fields])
 
