@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, ctph, langid, media, mixing, sharding, simhash, suffix_dedup
+from sparkloom.llm import bpe, ctph, langid, media, mixing, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6,
     "op7_media": media.op7,
     "op8_langid": langid.op8,
+    "op9_toxicity": toxicity.op9,
     "op10_simhash": simhash.op10,
 }
 
