@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, ctph, langid, media, mixing, sharding, simhash, suffix_dedup, toxicity
+from sparkloom.llm import bpe, chat, ctph, langid, media, mixing, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1,
     "op2_sharding": sharding.op2,
+    "op3_chat": chat.op3,
     "op4_ctph": ctph.op4,
     "op5_suffix_dedup": suffix_dedup.op5,
     "op6_mixing": mixing.op6,
@@ -21,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of those that SQL expresses.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE}
