@@ -19,16 +19,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from sparkloom.runtime import partitions, ship
+from sparkloom.runtime import ship
 
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 #: Characters past a match's end that can still decide about it (contractions, the look-ahead).
 _MARGIN = 4
 #: Encoded pieces that a worker remembers.
-_CACHE = 400_000
+_CACHE = 150_000
 _CODECS: dict[str, Codec] = {}
 
 
+def _pack(sizes: list[int]) -> bytes:
+    """Piece lengths in as few bytes each as the longest needs, which the first byte tells."""
+    width = 1 if max(sizes, default=0) < 256 else 4
+    return bytes([width]) + np.array(sizes, f"<u{width}").tobytes()
+
+
 class Codec:
     """A rank file and its pattern: pieces to packed little-endian ids, ids to bytes."""
 
@@ -100,7 +106,99 @@ def _pretokenise(batches: Iterator[pa.RecordBatch], ranks, pattern: str, chunk:
         for start, part, last in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
             sizes = [len(p) for p in codec.pieces(part)]
             ends = [0, *accumulate(sizes)]
-            lens.append(np.array(sizes, "<u4").tobytes())
+            lens.append(_pack(sizes))
+            heads.append([start + e for e in ends if e <= overlap])
+            tails.append([] if last else [start + e for e in ends if e >= chunk and e <= len(part) - _MARGIN])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lens, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], [*b.schema.names, "lens", "head", "tail"])
+
+
+def _encode_parts(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Encodes the pieces between a chunk's stitches; rows (digest, no, part, lens, from, to), the last two in the chunk."""
+    codec = Codec.of(ranks.value, pattern)
+    for b in batches:
+        out = []
+        for part, lens, lo, hi in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+            ends = [0, *accumulate(np.frombuffer(lens, f"<u{lens[0]}", offset=1).tolist())]
+            i, j = ends.index(lo), ends.index(hi) if hi is not None else len(ends) - 1
+            out.append(codec.encode([part[s:e] for s, e in zip(ends[i:j], ends[i + 1 : j + 1])]))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["digest", "no", "ids"])
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``df`` with ``out``: the text's token ids as packed little-endian unsigned 32-bit integers.
+
+    ``path`` names a rank file on the driver. A null text counts as empty and has no ids. A column ``out`` that
+    ``df`` has already is replaced; all other columns and repeated rows stay as they are.
+    """
+    if not _MARGIN < overlap < chunk:
+        raise ValueError("the overlap must be shorter than a chunk")
+    spark = df.sparkSession
+    ship(spark)
+    with open(path, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary: its size doesn't depend on the data
+    if out != text:
+        df = df.drop(out)
+    body = F.coalesce(F.col(text), F.lit(""))
+    whole = _series(lambda t: (c := Codec.of(ranks.value, pattern)).encode(c.pieces(t)), T.BinaryType())
+    short = df.where(F.length(body) <= chunk).withColumn(out, whole(body))
+
+    long_ = df.where(F.length(body) > chunk).withColumn("__digest", F.unhex(F.sha2(text, 256)))
+    parts = long_.select(F.col("__digest"), F.col(text)).mapInArrow(lambda it: _chunks(it, chunk, overlap), "digest binary, no int, start long, part string, last boolean")
+    # Copies of a text are encoded once; this also deals the chunks out.
+    parts = parts.groupBy("digest", "no").agg(F.first("start").alias("start"), F.first("part").alias("part"), F.first("last").alias("last"))
+    cut = parts.mapInArrow(lambda it: _pretokenise(it, ranks, pattern, chunk, overlap), "digest binary, no int, start long, part string, last boolean, lens binary, head array<long>, tail array<long>")
+    w = Window.partitionBy("digest").orderBy("no")
+    every = Window.partitionBy("digest")
+    sync = F.array_min(F.array_intersect("tail", F.lead("head").over(w)))
+    stitched = cut.withColumn("to", sync).withColumn("from", F.lag("to").over(w)).withColumn("broken", F.max((~F.col("last") & F.col("to").isNull()).cast("int")).over(every))
+    regions = stitched.where("broken = 0").select("digest", "no", "part", "lens", (F.coalesce("from", F.lit(0)) - F.col("start")).alias("from"), (F.col("to") - F.col("start")).alias("to"))
+    coded = regions.mapInArrow(lambda it: _encode_parts(it, ranks, pattern), "digest binary, no int, ids binary")
+    lined = F.array_sort(F.collect_list(F.struct("no", "ids")))
+    joined = coded.groupBy("digest").agg(F.unhex(F.array_join(F.transform(lined, lambda x: F.hex(x["ids"])), "")).alias("ids"))
+    own = F.when(F.col("last"), F.col("part")).otherwise(F.substring("part", 1, chunk)).alias("part")
+    stuck = stitched.where("broken = 1").select("digest", "no", own).groupBy("digest").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "part"))), lambda x: x["part"]), "").alias("text"))
+    coded_texts = joined.unionByName(stuck.select("digest", whole(F.col("text")).alias("ids"))).select(F.col("digest").alias("__done"), F.col("ids").alias("__ids"))
+    done = long_.join(coded_texts, F.col("__digest") == F.col("__done")).drop("__done", "__digest")
+    done = (done.drop(out) if out == text else done).withColumnRenamed("__ids", out)
+    return short.unionByName(done)
+
+
+def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _series(f, kind: T.DataType):
+    from pandas import Series
+
+    def each(it: Iterator) -> Iterator:
+        for s in it:
+            yield Series([f(x) for x in s], dtype=object)
+
+    each.__annotations__ = {"it": Iterator[Series], "return": Iterator[Series]}
+    return F.pandas_udf(each, kind)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            starts = list(range(0, max(1, len(text) - overlap), chunk))
+            for lo in range(0, len(starts), 256):
+                some = starts[lo : lo + 256]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([digest] * len(some), pa.binary()), pa.array(range(lo, lo + len(some)), pa.int32()), pa.array(some, pa.int64()), pa.array([text[s : s + chunk + overlap] if s != starts[-1] else text[s:] for s in some]), pa.array([s == starts[-1] for s in some])],
+                    ["digest", "no", "start", "part", "last"],
+                )
+
+
+def _pretokenise(batches: Iterator[pa.RecordBatch], ranks, pattern: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Adds the piece lengths, the boundaries in the first overlap, and the trusted ones in the last."""
+    codec = Codec.of(ranks.value, pattern)
+    for b in batches:
+        lens, heads, tails = [], [], []
+        for start, part, last in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            sizes = [len(p) for p in codec.pieces(part)]
+            ends = [0, *accumulate(sizes)]
+            lens.append(_pack(sizes))
             heads.append([start + e for e in ends if e <= overlap])
             tails.append([] if last else [start + e for e in ends if e >= chunk and e <= len(part) - _MARGIN])
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lens, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], [*b.schema.names, "lens", "head", "tail"])
@@ -112,7 +210,7 @@ def _encode_parts(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Ite
     for b in batches:
         out = []
         for part, lens, lo, hi in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
-            ends = [0, *accumulate(np.frombuffer(lens, "<u4").tolist())]
+            ends = [0, *accumulate(np.frombuffer(lens, f"<u{lens[0]}", offset=1).tolist())]
             i, j = ends.index(lo), ends.index(hi) if hi is not None else len(ends) - 1
             out.append(codec.encode([part[s:e] for s, e in zip(ends[i:j], ends[i + 1 : j + 1])]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["digest", "no", "ids"])
@@ -137,9 +235,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     short = df.where(F.length(body) <= chunk).withColumn(out, whole(body))
 
     long_ = df.where(F.length(body) > chunk).withColumn("__digest", F.unhex(F.sha2(text, 256)))
-    texts = long_.groupBy(F.col("__digest").alias("digest")).agg(F.first(text).alias("text"))
-    parts = texts.mapInArrow(lambda it: _chunks(it, chunk, overlap), "digest binary, no int, start long, part string, last boolean")
-    parts = parts.repartition(partitions(spark), "digest", "no")
+    parts = long_.select(F.col("__digest"), F.col(text)).mapInArrow(lambda it: _chunks(it, chunk, overlap), "digest binary, no int, start long, part string, last boolean")
+    # Copies of a text are encoded once; this also deals the chunks out.
+    parts = parts.groupBy("digest", "no").agg(F.first("start").alias("start"), F.first("part").alias("part"), F.first("last").alias("last"))
     cut = parts.mapInArrow(lambda it: _pretokenise(it, ranks, pattern, chunk, overlap), "digest binary, no int, start long, part string, last boolean, lens binary, head array<long>, tail array<long>")
     w = Window.partitionBy("digest").orderBy("no")
     every = Window.partitionBy("digest")
