@@ -1,24 +1,4 @@
 """The query catalogue: each reference operator applied to the driver tables, with its oracle SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from sparkloom.runtime import load
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its oracle if SQL expresses it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from sparkloom.plans import graphs, histories  # noqa: F401
+from sparkloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
+_BATCH_KEY, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608b"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, wherever the driver was started from."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(_BATCH_KEY) != _BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, _BATCH_BYTES)  # long texts: a worker holds batches by bytes, not by rows
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
