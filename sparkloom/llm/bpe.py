@@ -59,16 +59,16 @@ class Codec:
         return self._matches(text)
 
     def encode(self, pieces: list[str]) -> bytes:
-        known, out = self._known, []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = np.array(self._encode(p.encode()), "<u4").tobytes()
-                if len(known) >= _CACHE:
-                    known.clear()
-                if len(p) < 64:
-                    known[p] = ids
-            out.append(ids)
+        known = self._known
+        out = list(map(known.get, pieces))
+        if None in out:
+            for i, (p, ids) in enumerate(zip(pieces, out)):
+                if ids is None:
+                    out[i] = ids = np.array(self._encode(p.encode()), "<u4").tobytes()
+                    if len(known) >= _CACHE:
+                        known.clear()
+                    if len(p) < 64:
+                        known[p] = ids
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
