@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_S = Window.partitionBy("session")
+def _session() -> Window:
+    return Window.partitionBy("session")
 
 
 def transitions(events: DataFrame) -> DataFrame:
     """(session, from, to, n): steps between tools, from a synthetic start to a synthetic end."""
-    w = _S.orderBy("pos")
+    w = _session().orderBy("pos")
     step = events.select("session", F.lag("tool").over(w).alias("from"), F.col("tool").alias("to"), F.lead("tool").over(w).alias("next"))
     inner = step.select("session", F.coalesce("from", F.lit("start")).alias("from"), "to")
     ends = step.where("next is null").select("session", F.col("to").alias("from"), F.lit("end").alias("to"))
@@ -34,7 +35,7 @@ def frobenius_outliers(counts: DataFrame, k: int = 10) -> DataFrame:
 
 def runs(events: DataFrame, least: int = 3) -> DataFrame:
     """(session, tool, start, length): maximal runs of one tool, by the difference of two row numbers."""
-    w = _S.orderBy("pos")
+    w = _session().orderBy("pos")
     island = F.row_number().over(w) - F.row_number().over(Window.partitionBy("session", "tool").orderBy("pos"))
     out = events.withColumn("island", island).groupBy("session", "tool", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length"))
     return out.where(F.col("length") >= least).drop("island")
@@ -42,7 +43,7 @@ def runs(events: DataFrame, least: int = 3) -> DataFrame:
 
 def subsequences(events: DataFrame, shortest: int = 2, longest: int = 5, least: int = 2) -> DataFrame:
     """(pattern, length, n): contiguous tool sequences, by leads over the session, so no session is gathered in one row."""
-    w = _S.orderBy("pos")
+    w = _session().orderBy("pos")
     ahead = events.select("session", *[F.lead("tool", i).over(w).alias(f"t{i}") for i in range(longest)])
     each = [F.struct(F.concat_ws(">", *[f"t{i}" for i in range(n)]).alias("pattern"), F.lit(n).alias("length"), F.col(f"t{n - 1}").isNotNull().alias("ok")) for n in range(shortest, longest + 1)]
     out = ahead.select(F.explode(F.array(*each)).alias("p")).where("p.ok").groupBy("p.pattern", "p.length").agg(F.count("*").alias("n"))
@@ -51,7 +52,7 @@ def subsequences(events: DataFrame, shortest: int = 2, longest: int = 5, least:
 
 def matches(events: DataFrame, pattern: list[str]) -> DataFrame:
     """(session, pos): where a sequence of tool prefixes starts, without case."""
-    w = _S.orderBy("pos")
+    w = _session().orderBy("pos")
     hit = F.lit(True)
     rows = events.select("session", "pos", *[F.lower(F.lead("tool", i).over(w)).alias(f"t{i}") for i in range(len(pattern))])
     for i, p in enumerate(pattern):
@@ -61,7 +62,7 @@ def matches(events: DataFrame, pattern: list[str]) -> DataFrame:
 
 def growth(events: DataFrame, value: str = "value") -> DataFrame:
     """(session, unique): the sum of a context's rises, its first size included."""
-    prev = F.coalesce(F.lag(value).over(_S.orderBy("pos")), F.lit(0.0))
+    prev = F.coalesce(F.lag(value).over(_session().orderBy("pos")), F.lit(0.0))
     return events.withColumn("g", F.greatest(F.lit(0.0), F.col(value) - prev)).groupBy("session").agg(F.round(F.sum("g"), 4).alias("unique"))
 
 
@@ -79,7 +80,7 @@ def retry_hotspots(events: DataFrame, attempts: int = 3, failures: int = 2) -> D
 
 def parallel_runs(events: DataFrame, least: int = 2) -> DataFrame:
     """(session, tool, start, savings): runs of a tool over ``least`` or more distinct targets; one call could have done."""
-    w = _S.orderBy("pos")
+    w = _session().orderBy("pos")
     island = F.row_number().over(w) - F.row_number().over(Window.partitionBy("session", "tool").orderBy("pos"))
     out = events.withColumn("island", island).groupBy("session", "tool", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length"), F.countDistinct("target").alias("targets"))
     return out.where((F.col("length") > 1) & (F.col("targets") >= least)).select("session", "tool", "start", (F.col("length") - 1).alias("savings"))
