@@ -38,10 +38,12 @@ def _bucket_rows(n: int) -> int:
 def _propagate(state: DataFrame, quotas: list[int], scratch: Scratch, rounds: int) -> DataFrame:
     """The groups' loads (digest, loads) after propagation under the quotas."""
     k = len(quotas)
+    full: set[int] = set()  # labels that more wanted to join than there was room for
+    own = state
     for turn in range(rounds):
         totals = state.agg(*[F.sum(F.col("loads")[d]).alias(f"t{d}") for d in range(k)]).first()
         room = [q - (totals[d] or 0) for d, q in enumerate(quotas)]
-        open_ = F.array(*[F.lit(turn < 2 or r > 0) for r in room])
+        open_ = F.array(*[F.lit(d not in full and (turn < 2 or r > 0)) for d, r in enumerate(room)])
         rank = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda d: F.struct(F.col("loads")[d].alias("n"), (-F.pmod(d + F.col("h"), F.lit(k))).alias("t"), d.alias("d")))
         ranked_ = state.withColumn("h", F.xxhash64("digest")).withColumn("rank", rank)
         best = ranked_.withColumn("best", F.array_max(F.filter("rank", lambda x: F.element_at(open_, x["d"] + 1) & (x["n"] > 0))))
@@ -59,8 +61,13 @@ def _propagate(state: DataFrame, quotas: list[int], scratch: Scratch, rounds: in
             if room[d] > 0 and sum(extra):
                 for s in range(k):
                     flow[s][d] += extra[s] if sum(extra) <= room[d] else extra[s] * room[d] // sum(extra)
+        filled = {d for d in range(k) if sum(demand[s][d] - min(demand[s][d], demand[d][s]) for s in range(k)) > max(room[d], 0)} - full
+        full |= filled
         if not any(map(sum, flow)):
-            return state
+            scratch.drop(moves)
+            if not filled:
+                return state
+            continue
         # Of a pair of labels whose demand exceeds the flow, whole buckets go, largest gains first; of the bucket at the cut, a share.
         limit = F.array(*[F.array(*[F.lit(x) for x in row]) for row in flow])
         sums = moves.groupBy("s", "d", "b").agg(F.sum("n").alias("all"))
@@ -71,7 +78,7 @@ def _propagate(state: DataFrame, quotas: list[int], scratch: Scratch, rounds: in
         changed = F.array(*[F.col("loads")[i] + F.coalesce(F.col(f"c{i}"), F.lit(0)) for i in range(k)])
         after = scratch.stage(state.join(delta, "digest", "left").select("digest", changed.alias("loads")))
         scratch.drop(moves)
-        if turn:
+        if state is not own:
             scratch.drop(state)
         state = after
     return state
