@@ -1,4 +1,4 @@
 """The query catalogue: each reference operator applied to the driver tables, with its oracle SQL."""
 
-from sparkloom.plans import graphs, histories, logs, lookups, rule_queries, similar_and_streams  # noqa: F401
+from sparkloom.plans import graphs, histories, logs, lookups, reporting, rule_queries, similar_and_streams  # noqa: F401
 from sparkloom.plans.registry import ORACLES, QUERIES  # noqa: F401
