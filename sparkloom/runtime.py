@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
-_BATCH_KEY, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608b"
+_BATCH_KEY, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4194304b"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +54,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system; workers are kept and share an executor's limit."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 class Scratch:
     """Tables one query writes to the shared folder to cut lineage; a lost executor rereads them."""
 
