@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkloom.llm.langid import held_out
-from sparkloom.runtime import ship
+from sparkloom.runtime import give_back, ship
 
 #: Labelled rows learned from at most, by label; letters of the stems; features kept.
 TOXIC_ROWS, CLEAN_ROWS, STEMS, FEATURES = 2500, 5000, (4, 5), 800
@@ -66,14 +66,14 @@ class Toxicity:
 
     @staticmethod
     def fit(texts: list[str], labels: list[int], counterfactual_weight: float = COUNTERFACTUAL) -> Toxicity:
-        found = [words(t) for t in texts]
+        # Word sets are made anew in each pass: held for all texts, they would be the driver's largest load.
         y = np.array(labels, np.float64)
         n1, n0 = int(y.sum()), len(y) - int(y.sum())
         if not n1 or not n0:
             return Toxicity({}, 8.0 if n1 else -8.0)
-        hits = Counter(f for ws, l in zip(found, labels) if l for f in features(ws))
+        hits = Counter(f for t, l in zip(texts, labels) if l for f in features(words(t)))
         hits = {f: k for f, k in hits.items() if k >= 2}
-        misses = Counter(f for ws, l in zip(found, labels) if not l for f in features(ws) if f in hits)
+        misses = Counter(f for t, l in zip(texts, labels) if not l for f in features(words(t)) if f in hits)
 
         def strength(f: str) -> float:
             """How much likelier toxic texts are to have it, as a logarithm, less its standard error."""
@@ -88,7 +88,7 @@ class Toxicity:
         cost = SPARSITY * np.array([min(100.0, (5 / max(strong.get(f, 0.0), 0.1)) ** 3) for f in names])
         x = np.zeros((len(y), len(names)), np.float32)
         swaps = []
-        for i, ws in enumerate(found):
+        for i, ws in enumerate(map(words, texts)):
             x[i, [at[f] for f in features(ws) if f in at]] = 1
             other = counterfactual(ws)
             if other is not None:
@@ -144,6 +144,7 @@ def score(df: DataFrame, model: Toxicity, text: str = "text", out: str = "score"
         own = Toxicity(*shared.value)
         for s in it:
             yield pd.Series([own.score(t) for t in s], dtype="float64")
+        give_back()
 
     each.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(out, F.pandas_udf(each, T.DoubleType())(F.coalesce(F.col(text), F.lit(""))))
