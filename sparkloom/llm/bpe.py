@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from sparkloom.runtime import ship
+from sparkloom.runtime import give_back, ship
 
 CHUNK, OVERLAP = 32_768, 512
 #: Characters past a match's end that can still decide about it (contractions, the look-ahead).
@@ -35,6 +36,10 @@ def _pack(sizes: list[int]) -> bytes:
     return bytes([width]) + np.array(sizes, f"<u{width}").tobytes()
 
 
+def _pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """A rank file and its pattern: pieces to packed little-endian ids, ids to bytes."""
 
@@ -64,7 +69,7 @@ class Codec:
         if None in out:
             for i, (p, ids) in enumerate(zip(pieces, out)):
                 if ids is None:
-                    out[i] = ids = np.array(self._encode(p.encode()), "<u4").tobytes()
+                    out[i] = ids = _pack_ids(self._encode(p.encode()))
                     if len(known) >= _CACHE:
                         known.clear()
                     if len(p) < 64:
@@ -81,6 +86,7 @@ def _series(f, kind: T.DataType):
     def each(it: Iterator) -> Iterator:
         for s in it:
             yield Series([f(x) for x in s], dtype=object)
+        give_back()
 
     each.__annotations__ = {"it": Iterator[Series], "return": Iterator[Series]}
     return F.pandas_udf(each, kind)
@@ -173,6 +179,7 @@ def _series(f, kind: T.DataType):
     def each(it: Iterator) -> Iterator:
         for s in it:
             yield Series([f(x) for x in s], dtype=object)
+        give_back()
 
     each.__annotations__ = {"it": Iterator[Series], "return": Iterator[Series]}
     return F.pandas_udf(each, kind)

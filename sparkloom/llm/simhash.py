@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkloom.operators.components import connected_components
-from sparkloom.runtime import Scratch, partitions, ship
+from sparkloom.runtime import Scratch, give_back, partitions, ship
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints under one 32-bit key beyond which the 48-bit key is used.
@@ -55,6 +55,7 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fp", k: int = SHI
     def batches(it: Iterator) -> Iterator:
         for s in it:
             yield s.map(lambda t: simhash(t, k)).astype("int64")
+        give_back()
 
     from pandas import Series
 
@@ -113,6 +114,7 @@ def _links(it: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBat
         rest_k, rest_r, rest_f = keys[at:], roles[at:], fps[at:]
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["src", "dst"])
     us, vs = run(rest_k, rest_r, rest_f)
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["src", "dst"])
 
 

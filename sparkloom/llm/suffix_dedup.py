@@ -34,9 +34,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkloom.runtime import Scratch, partitions, ship
+from sparkloom.runtime import Scratch, give_back, partitions, ship
 
-MATCH, GRAM, BLOCK_BYTES = 50, 24, 2 << 20
+MATCH, GRAM, BLOCK_BYTES = 50, 24, 1 << 20
 #: Text bytes for each bucket of anchors, and for each range of the merge.
 BUCKET_BYTES, RANGE_BYTES = 24 << 20, 16 << 20
 _LAST = (1 << 63) - 1
@@ -109,6 +109,7 @@ def _blocks(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]
             extras.append(rest.slice(lo))
     if ords:
         yield flush()
+    give_back()
 
 
 class _Anchors:
@@ -123,7 +124,10 @@ class _Anchors:
             return
         words = np.ndarray((n - 7,), "<u8", text.data, strides=(1,)).copy()
         m = n - GRAM + 1
-        h = words[:m] * _C[0] + words[8 : m + 8] * _C[1] + words[16 : m + 16] * _C[2]
+        h = words[:m] * _C[0]
+        h += words[8 : m + 8] * _C[1]
+        h += words[16 : m + 16] * _C[2]
+        del words
         h ^= h >> np.uint64(32)
         h *= _C[3]
         h ^= h >> np.uint64(29)
@@ -138,7 +142,7 @@ class _Anchors:
         ends = np.cumsum(lens)
         doc = np.repeat(np.arange(len(lens)), lens)
         ok = doc[: len(anchor)] == doc[MATCH - 1 : MATCH - 1 + len(anchor)]
-        del words, v, least
+        del v, least
         new = np.empty(len(anchor), bool)
         new[0] = True
         new[1:] = (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1]) | (doc[1 : len(anchor)] != doc[: len(anchor) - 1])
@@ -179,6 +183,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
+        give_back()
 
 
 def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
