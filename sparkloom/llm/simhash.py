@@ -167,13 +167,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row left of each group of near duplicates: that of the least key (nulls last, then by text)."""
+    """``df`` with one row left of each group of near duplicates: that of the least key (nulls last), then fingerprint, then text."""
     found = near_duplicates(df, key, text)
     firsts = found.groupBy("component_fp").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), "fp")).alias("best"))
     best = firsts.select("best.k", "best.fp")
     hashed = fingerprint(df, text, "__fp")
-    kept = hashed.join(best, (hashed[key].eqNullSafe(best["k"])) & (hashed["__fp"] == best["fp"]), "left_semi").drop("__fp")
-    return kept.dropDuplicates([key])
+    kept = hashed.join(best, (hashed[key].eqNullSafe(best["k"])) & (hashed["__fp"] == best["fp"]), "left_semi")
+    # A fingerprint is in one component only, while components can share their least key or have none.
+    one = kept.groupBy("__fp").agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(text)).alias("row"))
+    return one.select("row.*")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -230,3 +230,13 @@ def test_simhash(spark, docs, empty):
     kept = simhash.keep_one(docs).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id) == sorted({r.component_id for r in got if r.component_id})
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
+
+
+def test_keep_one_of_each_component(spark, docs):
+    for df in (docs, spark.createDataFrame([(None, "alpha beta gamma"), (None, "one two three"), (7, "red green blue"), (7, "sun moon stars"), (7, "Sun moon stars"), (8, "sun moon stars"), (None, "sun moon stars")], "doc_id long, text string")):
+        found = {(r.doc_id, r.fp): r.component_fp for r in simhash.near_duplicates(df).collect()}
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        rows = kept.collect()
+        assert sorted(found[r.doc_id, simhash.simhash(r.text)] for r in rows) == sorted(set(found.values()))
+    assert {(r.doc_id, r.text) for r in rows} == {(None, "alpha beta gamma"), (None, "one two three"), (7, "red green blue"), (7, "Sun moon stars")}
