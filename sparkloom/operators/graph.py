@@ -101,20 +101,62 @@ def trim(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now
 
 
+def _least_reaching(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, colour): the least node from which the node is reached, itself included."""
+    now = scratch.stage(nodes(edges).select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")))
+    while not now.where("moved").isEmpty():
+        pushed = now.where("moved").join(edges, F.col("node") == edges["src"]).groupBy("dst").agg(F.min("colour").alias("c"))
+        after = now.join(pushed, now["node"] == pushed["dst"], "left").select("node", F.least("colour", "c").alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("moved"))
+        after = scratch.stage(after)
+        scratch.drop(now)
+        now = after
+    return now.select("node", "colour")
+
+
 def strongly_connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component): nodes that reach each other, named by the least; trimmed first, then closed under reachability."""
+    """(node, component): nodes that reach each other, named by the least.
+
+    After a trim each node is coloured by the least node that reaches it; what reaches that node within the colour is
+    its component. The rest goes into the next round. No pairs of nodes are made.
+    """
     edges = scratch.stage(clean(edges))
-    core = closure(trim(edges, scratch), scratch)
-    both = core.join(core.toDF("dst", "src"), ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-    found = both.select("node", F.least("node", "m").alias("component"))
+    left, found = trim(edges, scratch), None
+    while not left.isEmpty():
+        colour = _least_reaching(left, scratch)
+        inner = left.join(colour.toDF("src", "component"), "src").join(colour.toDF("dst", "other"), "dst").where("component = other")
+        inner = scratch.stage(inner.select("src", "dst", "component"))
+        front = members = scratch.stage(colour.where("node = colour").toDF("node", "component"))
+        while not front.isEmpty():
+            step = front.select(F.col("node").alias("dst")).join(inner, "dst").select(F.col("src").alias("node"), "component").distinct()
+            front = scratch.stage(step.join(members, "node", "left_anti"))
+            members = members.unionByName(front)
+        members = scratch.stage(members)
+        found = members if found is None else found.unionByName(members)
+        rest = inner.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = trim(rest, scratch)
+    if found is None:
+        return nodes(edges).select("node", F.col("node").alias("component"))
     return nodes(edges).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def fold(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(src, dst) between the strong components ``parts``; no cycles are left."""
+    return clean(edges.join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def dependents(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, dependents): how many other nodes reach the node, where any do; closed over strong components only."""
+    parts = scratch.stage(strongly_connected(edges, scratch))
+    size = scratch.stage(parts.groupBy("component").agg(F.count("*").alias("n")))
+    before = closure(fold(edges, parts), scratch).join(size.toDF("src", "n"), "src").groupBy(F.col("dst").alias("component")).agg(F.sum("n").alias("more"))
+    total = size.join(before, "component", "left").select("component", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("dependents"))
+    return parts.join(total, "component").where("dependents > 0").select("node", "dependents")
+
+
 def longest_depth(edges: DataFrame, scratch: Scratch, max_rounds: int = 500) -> DataFrame:
     """(node, depth): edges on the longest path that ends at the node; nodes of one cycle count as one."""
     parts = scratch.stage(strongly_connected(edges, scratch))
-    folded = edges.join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    folded = scratch.stage(clean(folded))
+    folded = scratch.stage(fold(edges, parts))
     now = scratch.stage(parts.select(F.col("component").alias("node")).distinct().withColumn("depth", F.lit(0)))
     front = now
     for depth in range(1, max_rounds):
@@ -177,11 +219,12 @@ def bridges(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, scratch: Scratch, starts: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(start, node, depth, path): for each reachable node the least of its shortest paths, nodes joined by >."""
+    """(start, node, depth, path): for each reachable node the least of its shortest paths, nodes joined by >; a ``max_depth`` of 0 is no limit."""
     edges = scratch.stage(edges)
     front = scratch.stage(starts.toDF("start").select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.col("start").cast("string").alias("path")))
-    seen = front
-    for depth in range(1, max_depth + 1):
+    seen, depth = front, 0
+    while depth != max_depth or not max_depth:
+        depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.lit(">"), F.col("dst").cast("string")).alias("path"))
         step = step.groupBy("start", "node", "depth").agg(F.min("path").alias("path"))
         front = scratch.stage(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))

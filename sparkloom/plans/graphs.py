@@ -1,4 +1,4 @@
-"""Graph and architecture queries over thinned part-to-part edges."""
+"""Graph and architecture queries over part-to-part edges: thinned ones where SQL checks the result, and all of them in the queries named *_whole."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import graph
 from sparkloom.operators.components import connected_components
-from sparkloom.plans.registry import edges_sql, part_edges, query
+from sparkloom.plans.registry import QUERIES, edges_sql, part_edges, query
 from sparkloom.runtime import Scratch, load
 
 #: Least quantity of an edge: sparse and upward for closures, all for local patterns, sparse with cycles.
@@ -50,13 +50,13 @@ def cross_edges(spark, d):
 
 
 @query(f"WITH {_E} SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT dst FROM e)")
-def dead_nodes(spark, d):
-    return graph.dead_nodes(_edges(spark, d))
+def dead_nodes(spark, d, least=SPARSE):
+    return graph.dead_nodes(_edges(spark, d, least))
 
 
 @query(f"WITH {_E} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
-def orphan_nodes(spark, d):
-    return load(spark, d, "part").select(F.col("p_partkey").alias("node")).join(graph.nodes(_edges(spark, d)), "node", "left_anti")
+def orphan_nodes(spark, d, least=SPARSE):
+    return load(spark, d, "part").select(F.col("p_partkey").alias("node")).join(graph.nodes(_edges(spark, d, least)), "node", "left_anti")
 
 
 @query(f"""
@@ -87,16 +87,16 @@ WITH RECURSIVE {_E}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), {
 r(src, dst) AS (SELECT src, dst FROM b UNION SELECT r.src, b.dst FROM r JOIN b ON r.dst = b.src)
 SELECT node, least(node, coalesce(min(dst), node)) AS component FROM n LEFT JOIN r ON node = src GROUP BY node
 """)
-def wcc(spark, d):
-    return connected_components(_edges(spark, d), Scratch(spark, "wcc"))
+def wcc(spark, d, least=SPARSE):
+    return connected_components(_edges(spark, d, least), Scratch(spark, "wcc"))
 
 
 @query(f"""
 WITH {_E}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM e) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)), 9) AS density
 """)
-def graph_stats(spark, d):
-    e = _edges(spark, d)
+def graph_stats(spark, d, least=SPARSE):
+    e = _edges(spark, d, least)
     n = graph.nodes(e).agg(F.count("*").alias("nodes"))
     both = n.join(e.agg(F.count("*").alias("edges")), F.lit(True))  # one row each
     return both.withColumn("density", F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 9))
@@ -106,18 +106,18 @@ def graph_stats(spark, d):
 WITH RECURSIVE {_C}, {_REACH}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 SELECT node, least(node, coalesce(min(x.dst), node)) AS component FROM n LEFT JOIN (SELECT p.src, p.dst FROM r p JOIN r q ON p.src = q.dst AND p.dst = q.src) x ON node = x.src GROUP BY node
 """)
-def scc(spark, d):
-    return graph.strongly_connected(_edges(spark, d, CYCLIC), Scratch(spark, "scc"))
+def scc(spark, d, least=CYCLIC):
+    return graph.strongly_connected(_edges(spark, d, least), Scratch(spark, "scc"))
 
 
 @query(f"WITH RECURSIVE {_E}, {_LEVELS} SELECT start, node, min(depth) AS depth FROM l GROUP BY 1, 2")
-def bfs_depth(spark, d):
-    return graph.reach(_edges(spark, d), Scratch(spark, "bfs"))
+def bfs_depth(spark, d, least=SPARSE):
+    return graph.reach(_edges(spark, d, least), Scratch(spark, "bfs"))
 
 
 @query(f"WITH RECURSIVE {_E}, {_REACH} SELECT dst AS node, count(*) AS dependents FROM r WHERE src <> dst GROUP BY dst")
-def dependents(spark, d):
-    return graph.closure(_edges(spark, d), Scratch(spark, "closure")).where("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("dependents"))
+def dependents(spark, d, least=SPARSE):
+    return graph.dependents(_edges(spark, d, least), Scratch(spark, "closure"))
 
 
 @query(f"""
@@ -125,8 +125,8 @@ WITH RECURSIVE {_E}, {_LEVELS.replace("src, dst, 1", "dst, src, 1").replace("sta
 m AS (SELECT start, node, min(depth) AS depth FROM l WHERE start <> node GROUP BY 1, 2)
 SELECT start AS node, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS transitive, max(depth) AS depth FROM m GROUP BY start
 """)
-def blast_radius(spark, d):
-    back = _edges(spark, d).toDF("dst", "src")
+def blast_radius(spark, d, least=SPARSE):
+    back = _edges(spark, d, least).toDF("dst", "src")
     r = graph.reach(back, Scratch(spark, "blast")).where("start <> node")
     return r.groupBy(F.col("start").alias("node")).agg(F.sum((F.col("depth") == 1).cast("long")).alias("direct"), F.sum((F.col("depth") > 1).cast("long")).alias("transitive"), F.max("depth").alias("depth"))
 
@@ -135,8 +135,8 @@ _DEPTH = "n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), z(node, dept
 
 
 @query(f"WITH RECURSIVE {_E}, {_DEPTH} SELECT node, depth FROM dm")
-def depth_map(spark, d):
-    return graph.longest_depth(_edges(spark, d), Scratch(spark, "depth"))
+def depth_map(spark, d, least=SPARSE):
+    return graph.longest_depth(_edges(spark, d, least), Scratch(spark, "depth"))
 
 
 @query(f"""
@@ -146,8 +146,8 @@ s AS (SELECT f AS layer, CAST(sum(CASE WHEN q.d > p.d THEN 1 ELSE 0 END) AS BIGI
   FROM c JOIN a p ON f = p.layer JOIN a q ON t = q.layer GROUP BY f)
 SELECT *, round(CASE WHEN down + up = 0 THEN 1.0 ELSE down / (down + up) END, 9) AS compliance FROM s
 """)
-def layering(spark, d):
-    e = _edges(spark, d)
+def layering(spark, d, least=SPARSE):
+    e = _edges(spark, d, least)
     layer = load(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("layer"))
     return graph.layering(e, graph.longest_depth(e, Scratch(spark, "layers")), layer)
 
@@ -157,9 +157,9 @@ WITH RECURSIVE {_E}, {_REACH}, c AS (SELECT p_partkey AS k, p_size AS cc FROM pa
 SELECT src AS node, CAST(sum(y.cc) + any_value(x.cc) AS BIGINT) AS reachable_cc, max(y.cc) AS max_cc, round((sum(y.cc) + any_value(x.cc)) / any_value(x.cc), 9) AS amplification
 FROM r JOIN c x ON src = x.k JOIN c y ON dst = y.k WHERE src <> dst GROUP BY src
 """)
-def reachable_sum(spark, d):
+def reachable_sum(spark, d, least=SPARSE):
     c = load(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("cc"))
-    r = graph.closure(_edges(spark, d), Scratch(spark, "reachable")).where("src <> dst").join(c.toDF("dst", "cc"), "dst").groupBy("src").agg(F.sum("cc").alias("s"), F.max("cc").alias("max_cc"))
+    r = graph.closure(_edges(spark, d, least), Scratch(spark, "reachable")).where("src <> dst").join(c.toDF("dst", "cc"), "dst").groupBy("src").agg(F.sum("cc").alias("s"), F.max("cc").alias("max_cc"))
     return r.join(c.toDF("src", "own"), "src").select(F.col("src").alias("node"), (F.col("s") + F.col("own")).alias("reachable_cc"), "max_cc", F.round((F.col("s") + F.col("own")) / F.col("own"), 9).alias("amplification"))
 
 
@@ -169,16 +169,32 @@ l(start, node, depth, path) AS (SELECT start, start, 0, CAST(start AS VARCHAR) F
 m AS (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY depth, path) AS k FROM l)
 SELECT start, node, depth, path FROM m WHERE k = 1 AND depth > 0
 """)
-def shortest_path(spark, d):
-    e = _edges(spark, d)
+def shortest_path(spark, d, least=SPARSE):
+    e = _edges(spark, d, least)
+    if least == DENSE:
+        return graph.shortest_paths(e, Scratch(spark, "paths"), e.select("src").distinct(), max_depth=0)
     return graph.shortest_paths(e, Scratch(spark, "paths"), e.where("src % 50 = 0").select("src").distinct())
 
 
 @query(f"WITH RECURSIVE {_E}, {_DEPTH} SELECT node AS \"end\", depth + 1 AS n_nodes FROM dm WHERE depth >= 3 AND node NOT IN (SELECT src FROM e)")
-def longest_chain(spark, d):
-    return graph.longest_chain(_edges(spark, d), Scratch(spark, "chains"))
+def longest_chain(spark, d, least=SPARSE):
+    return graph.longest_chain(_edges(spark, d, least), Scratch(spark, "chains"))
 
 
 @query()
-def bridges(spark, d):
-    return graph.bridges(_edges(spark, d), Scratch(spark, "bridges"))
+def bridges(spark, d, least=SPARSE):
+    return graph.bridges(_edges(spark, d, least), Scratch(spark, "bridges"))
+
+
+def _whole(f) -> None:
+    """Register the query over all edges in both directions, which recursive SQL is too slow for."""
+
+    def run(spark, d):
+        return f(spark, d, DENSE)
+
+    run.__name__, run.__doc__ = f"{f.__name__}_whole", f"{f.__name__} over all edges."
+    QUERIES[run.__name__] = run
+
+
+for _f in (wcc, scc, bfs_depth, dependents, blast_radius, depth_map, layering, reachable_sum, shortest_path, longest_chain, bridges, graph_stats, dead_nodes, orphan_nodes):
+    _whole(_f)

@@ -1,5 +1,7 @@
 """Characterisation cases of the graph, rule, history and gate operators."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -114,3 +116,41 @@ def test_oracle(spark, small, name):
     cols = sorted(got.columns)
     fold = lambda df: sorted(tuple(_norm(v) for v in r) for r in df[cols].astype(object).itertuples(index=False, name=None))
     assert fold(got) == fold(want)
+
+
+def brute_reach(pairs):
+    """For each node the others it reaches, by steps."""
+    out = {}
+    for start in {x for p in pairs for x in p}:
+        depth, front = {start: 0}, [start]
+        while front:
+            front = sorted({b for a, b in pairs if a in front} - set(depth))
+            depth |= {b: max(depth.values()) + 1 for b in front}
+        out[start] = depth
+    return out
+
+
+def test_whole_graphs(spark, tmp_path):
+    rng = random.Random(7)
+    lines = [(o, n, rng.randint(1, 30), rng.choice("RRN"), rng.randint(1, 50)) for o in range(24) for n in range(1, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_quantity int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, f"B{i % 4}", i % 5 + 1) for i in range(1, 34)], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    by = {(o, n): p for o, n, p, *_ in lines}
+    pairs = {(p, by[o, n + 1]) for o, n, p, flag, _ in lines if flag == "R" and (o, n + 1) in by and p != by[o, n + 1]}
+    far = brute_reach(pairs)
+    run = lambda name: rows(catalogue.QUERIES[f"{name}_whole"](spark, str(tmp_path)))
+    strong = {n: min(m for m in far[n] if n in far[m]) for n in far}
+    assert len(set(strong.values())) < len(far)  # it has cycles
+    assert run("scc") == sorted(strong.items())
+    assert run("bfs_depth") == sorted({(a, b, d) for a in far for b, d in far[a].items() if d} | {(a, a, 1 + min(far[b][a] for x, b in pairs if x == a and a in far[b])) for a in far if any(x == a and a in far[b] for x, b in pairs)})
+    assert [r[:3] for r in run("shortest_path")] == sorted((a, b, d) for a in far for b, d in far[a].items() if d)
+    count = {n: sum(n in far[m] for m in far) - 1 for n in far}
+    assert run("dependents") == sorted((n, c) for n, c in count.items() if c)
+    assert run("graph_stats")[0][:2] == (len(far), len(pairs))
+    assert run("dead_nodes") == sorted({(a,) for a, _ in pairs} - {(b,) for _, b in pairs})
+    assert run("orphan_nodes") == [(i,) for i in range(1, 34) if i not in far]
+    weak = brute_reach(pairs | {(b, a) for a, b in pairs})
+    assert run("wcc") == sorted((n, min(weak[n])) for n in weak)
+    folded = {(strong[a], strong[b]) for a, b in pairs if strong[a] != strong[b]}
+    longest = lambda n: max((1 + longest(a) for a, b in folded if b == n), default=0)
+    assert run("depth_map") == sorted((n, longest(strong[n])) for n in far)
