@@ -1,4 +1,4 @@
-"""The built-in rules over facts made of the driver tables, checked against plain SQL."""
+"""The built-in rules over facts made of the driver tables: thinned facts checked against plain SQL, and all of them in the queries named *_whole."""
 
 from __future__ import annotations
 
@@ -28,6 +28,11 @@ FACTS = {
     "cfg_effect": ("f, b, kind, label", "SELECT DISTINCT 'u' || CAST(user_id AS STRING) AS f, event_id % 12 AS b, CASE WHEN event_type = 'purchase' THEN 'acquire' ELSE 'release' END AS c, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'l' || CAST(event_id % 30 AS STRING) END AS d FROM events WHERE event_type IN ('purchase', 'click') AND event_id % 6 < 3"),
 }
 
+#: The conditions that belong to a relation's meaning; all others thin it.
+_MEANING = {"cfg_def": "event_type = 'signup'", "cfg_use": "event_type = 'view'", "cfg_effect": "event_type IN ('purchase', 'click')"}
+#: The facts of every row.
+WHOLE = {name: (cols, body.split(" WHERE ")[0] + (f" WHERE {_MEANING[name]}" if name in _MEANING else "")) for name, (cols, body) in FACTS.items()}
+
 #: The same rules in SQL over views named r_<relation> with columns c0, c1 and so on.
 _SQL = {
     "circular_deps": "WITH RECURSIVE e AS (SELECT DISTINCT c0, c1 FROM r_import), x(a, b) AS (SELECT c0, c1 FROM e UNION SELECT a, c1 FROM x JOIN e ON b = c0) SELECT p.a AS c0, p.b AS c1 FROM x p JOIN x q ON p.a = q.b AND p.b = q.a WHERE p.a < p.b",
@@ -55,12 +60,12 @@ _SQL = {
 }
 
 
-def relations(spark, d: str, names: set[str]) -> dict:
+def relations(spark, d: str, names: set[str], facts: dict = FACTS) -> dict:
     """The named base relations as DataFrames, columns c0, c1 and so on."""
     tables = {t: load(spark, d, t) for t in ("part", "lineitem", "orders", "customer", "supplier", "events")}
     out = {}
     for name in sorted(names):
-        body = FACTS[name][1]
+        body = facts[name][1]
         table = body.split(" FROM ")[1].split()[0]
         df = spark.sql(body.replace(f" FROM {table}", f" FROM {{{table}}}"), **{table: tables[table]})
         out[name] = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -76,6 +81,13 @@ def _register(rule: str) -> None:
 
     run.__name__, run.__doc__ = f"dl_{rule}", f"The rule {rule} over facts made of the driver tables."
     QUERIES[f"dl_{rule}"] = run
+
+    def whole(spark, d):
+        return evaluate(text, relations(spark, d, used, WHOLE), Scratch(spark, f"dl_{rule}"))["found"]
+
+    whole.__name__, whole.__doc__ = f"dl_{rule}_whole", f"The rule {rule} over facts of every row."
+    if any(WHOLE[name] != FACTS[name] for name in used):
+        QUERIES[whole.__name__] = whole
     views = ", ".join(f"r_{n}({', '.join(f'c{i}' for i in range(FACTS[n][0].count(',') + 1))}) AS ({FACTS[n][1].replace('AS STRING', 'AS VARCHAR')})" for n in sorted(used))
     sql = _SQL[rule]
     if sql.startswith("WITH RECURSIVE "):

@@ -8,7 +8,7 @@ import pytest
 from sparkloom.datalog import engine
 from sparkloom.operators import facts, gates, graph, history, sessions, text
 from sparkloom.operators.components import connected_components
-from sparkloom.plans import catalogue
+from sparkloom.plans import catalogue, rule_queries
 from sparkloom.runtime import Scratch
 
 
@@ -154,3 +154,14 @@ def test_whole_graphs(spark, tmp_path):
     folded = {(strong[a], strong[b]) for a, b in pairs if strong[a] != strong[b]}
     longest = lambda n: max((1 + longest(a) for a, b in folded if b == n), default=0)
     assert run("depth_map") == sorted((n, longest(strong[n])) for n in far)
+
+
+def test_whole_facts(spark, small):
+    tables = {t: spark.read.parquet(f"{small}/{t}.parquet") for t in ("lineitem", "events", "orders")}
+    pairs = {(f"f{r.l_suppkey % 67}", f"f{r.l_partkey * 3 % 71}") for r in tables["lineitem"].collect()}
+    far = brute_reach(pairs)
+    assert rows(catalogue.QUERIES["dl_circular_deps_whole"](spark, small)) == sorted((a, b) for a in far for b in far[a] if a < b and a in far[b])
+    got = rule_queries.relations(spark, small, {"cfg_edge", "call"}, rule_queries.WHOLE)
+    assert {r.c0 for r in got["cfg_edge"].collect()} == {f"u{r.user_id}" for r in tables["events"].collect()}
+    assert len(got["call"].collect()) == len({(r.o_custkey % 60, r.o_custkey * 7 % 180, r.o_orderkey % 390, r.o_orderkey % 90) for r in tables["orders"].collect()})
+    assert {n for n in catalogue.QUERIES if n.startswith("dl_") and not n.endswith("_whole")} - {"dl_missing_impl"} == {n.removesuffix("_whole") for n in catalogue.QUERIES if n.startswith("dl_") and n.endswith("_whole")}
