@@ -33,6 +33,9 @@ _MEANING = {"cfg_def": "event_type = 'signup'", "cfg_use": "event_type = 'view'"
 #: The facts of every row.
 WHOLE = {name: (cols, body.split(" WHERE ")[0] + (f" WHERE {_MEANING[name]}" if name in _MEANING else "")) for name, (cols, body) in FACTS.items()}
 
+#: Thresholds of the SQL below, which thinned facts reach; RULES and the queries named *_whole have the reference's.
+_LOW = {"fan_out": ("n > 50", "n > 5"), "hub_file": ("n > 30", "n > 5"), "god_file": ("k > 50", "k > 2"), "god_class": ("k > 20", "k > 2")}
+
 #: The same rules in SQL over views named r_<relation> with columns c0, c1 and so on.
 _SQL = {
     "circular_deps": "WITH RECURSIVE e AS (SELECT DISTINCT c0, c1 FROM r_import), x(a, b) AS (SELECT c0, c1 FROM e UNION SELECT a, c1 FROM x JOIN e ON b = c0) SELECT p.a AS c0, p.b AS c1 FROM x p JOIN x q ON p.a = q.b AND p.b = q.a WHERE p.a < p.b",
@@ -77,7 +80,7 @@ def _register(rule: str) -> None:
     used = {name for name in FACTS if f"{name}(" in text}
 
     def run(spark, d):
-        return evaluate(text, relations(spark, d, used), Scratch(spark, f"dl_{rule}"))["found"]
+        return evaluate(text.replace(*_LOW.get(rule, ("", ""))), relations(spark, d, used), Scratch(spark, f"dl_{rule}"))["found"]
 
     run.__name__, run.__doc__ = f"dl_{rule}", f"The rule {rule} over facts made of the driver tables."
     QUERIES[f"dl_{rule}"] = run

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from sparkloom.datalog import engine
+from sparkloom.datalog.rules import RULES
 from sparkloom.operators import facts, gates, graph, history, sessions, text
 from sparkloom.operators.components import connected_components
 from sparkloom.plans import catalogue, rule_queries
@@ -165,3 +166,17 @@ def test_whole_facts(spark, small):
     assert {r.c0 for r in got["cfg_edge"].collect()} == {f"u{r.user_id}" for r in tables["events"].collect()}
     assert len(got["call"].collect()) == len({(r.o_custkey % 60, r.o_custkey * 7 % 180, r.o_orderkey % 390, r.o_orderkey % 90) for r in tables["orders"].collect()})
     assert {n for n in catalogue.QUERIES if n.startswith("dl_") and not n.endswith("_whole")} - {"dl_missing_impl"} == {n.removesuffix("_whole") for n in catalogue.QUERIES if n.startswith("dl_") and n.endswith("_whole")}
+
+
+@pytest.mark.parametrize(("rule", "limit"), [("fan_out", 50), ("hub_file", 30), ("god_file", 50), ("god_class", 20)])
+def test_thresholds(spark, rule, limit):
+    sizes = {"big": limit + 1, "even": limit, "small": 5}
+    each = [(f, i) for f, n in sizes.items() for i in range(n)]
+    facts_ = {
+        "call": spark.createDataFrame([(f, "c", f"s{i}", i) for f, i in each], "c0 string, c1 string, c2 string, c3 int"),
+        "import": spark.createDataFrame([(f"x{i}", f, "n") for f, i in each], "c0 string, c1 string, c2 string"),
+        "symbol": spark.createDataFrame([(f, f"s{i}", "method" if rule == "god_class" else "function", i) for f, i in each], "c0 string, c1 string, c2 string, c3 int"),
+        "parent": spark.createDataFrame([(f, f"s{i}", "C") for f, i in each], "c0 string, c1 string, c2 string"),
+    }
+    used = {n: df for n, df in facts_.items() if f"{n}(" in RULES[rule]}
+    assert [(r[0], r[-1]) for r in rows(engine.evaluate(RULES[rule], used, Scratch(spark, "t"))["found"])] == [("big", limit + 1)]
