@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkloom.runtime import Scratch
 
+#: Rounds after which what was found is written as one table, so that plans of deep graphs stay short.
+MERGE = 50
+
 
 def clean(edges: DataFrame, loops: bool = False) -> DataFrame:
     """Distinct edges without nulls, and without self-edges unless ``loops``."""
@@ -55,21 +58,28 @@ def redundant(edges: DataFrame) -> DataFrame:
     return two.join(edges, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min("via").alias("via"))
 
 
-def reach(edges: DataFrame, scratch: Scratch, starts: DataFrame | None = None, max_depth: int = 0, max_rounds: int = 500) -> DataFrame:
-    """(start, node, depth): the nodes reachable from each start (each source by default) in one step or more, by least depth."""
+def reach(edges: DataFrame, scratch: Scratch, starts: DataFrame | None = None, max_depth: int = 0, max_rounds: int = 0) -> DataFrame:
+    """(start, node, depth): the nodes reachable from each start (each source by default) in one step or more, by least depth.
+
+    More than ``max_rounds`` steps are an error, where it isn't 0.
+    """
     edges = scratch.stage(edges)
     front = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     if starts is not None:
         front = front.join(starts.toDF("start"), "start", "left_semi")
     front = scratch.stage(front.distinct().withColumn("depth", F.lit(1)))
     seen, depth = front, 1
-    while depth != max_depth and depth < max_rounds:
+    while depth != max_depth:
         depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
         front = scratch.stage(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
+        if depth > max_rounds > 0:
+            raise RuntimeError(f"some nodes are farther than {max_rounds} steps")
         seen = seen.unionByName(front)
+        if depth % MERGE == 0:
+            seen = scratch.stage(seen)
     return seen
 
 
@@ -153,17 +163,25 @@ def dependents(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return parts.join(total, "component").where("dependents > 0").select("node", "dependents")
 
 
-def longest_depth(edges: DataFrame, scratch: Scratch, max_rounds: int = 500) -> DataFrame:
-    """(node, depth): edges on the longest path that ends at the node; nodes of one cycle count as one."""
+def longest_depth(edges: DataFrame, scratch: Scratch, max_rounds: int = 0) -> DataFrame:
+    """(node, depth): edges on the longest path that ends at the node; nodes of one cycle count as one.
+
+    More than ``max_rounds`` edges are an error, where it isn't 0.
+    """
     parts = scratch.stage(strongly_connected(edges, scratch))
     folded = scratch.stage(fold(edges, parts))
     now = scratch.stage(parts.select(F.col("component").alias("node")).distinct().withColumn("depth", F.lit(0)))
-    front = now
-    for depth in range(1, max_rounds):
+    front, depth = now, 0
+    while True:
+        depth += 1
         front = scratch.stage(front.join(folded, front["node"] == folded["src"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
+        if depth > max_rounds > 0:
+            raise RuntimeError(f"some paths are longer than {max_rounds} edges")
         now = now.unionByName(front)
+        if depth % MERGE == 0:
+            now = scratch.stage(now)
     top = now.groupBy("node").agg(F.max("depth").alias("depth"))
     return parts.join(top.toDF("component", "depth"), "component").select("node", "depth")
 

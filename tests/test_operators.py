@@ -1,6 +1,7 @@
 """Characterisation cases of the graph, rule, history and gate operators."""
 
 import random
+from inspect import signature
 
 import duckdb
 import pytest
@@ -180,3 +181,14 @@ def test_thresholds(spark, rule, limit):
     }
     used = {n: df for n, df in facts_.items() if f"{n}(" in RULES[rule]}
     assert [(r[0], r[-1]) for r in rows(engine.evaluate(RULES[rule], used, Scratch(spark, "t"))["found"])] == [("big", limit + 1)]
+
+
+def test_depth_is_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MERGE", 3)
+    e = edges(spark, "ab", "bc", "cd", "de", "ef", "fg")
+    assert rows(graph.reach(e, Scratch(spark, "t"), max_rounds=6)) == [(a, b, ord(b) - ord(a)) for a in "abcdef" for b in "bcdefg" if a < b]
+    assert rows(graph.longest_depth(e, Scratch(spark, "t"), max_rounds=6)) == rows(graph.longest_depth(e, Scratch(spark, "t"))) == [(x, i) for i, x in enumerate("abcdefg")]
+    for f in (graph.reach, graph.longest_depth):
+        assert signature(f).parameters["max_rounds"].default == 0
+        with pytest.raises(RuntimeError):
+            f(e, Scratch(spark, "t"), max_rounds=5)
