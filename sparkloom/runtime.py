@@ -56,6 +56,9 @@ def ship(spark: SparkSession) -> None:
 
 def give_back() -> None:
     """Return a Python worker's freed memory to the system; workers are kept and share an executor's limit."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
