@@ -43,8 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and the digest of the bytes that they decode to."""
     import public_tokenizers as P
 
-    path = P.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), path, P.PATTERN), path, P.PATTERN)
+    coded = bpe.encode(docs.select(*COLUMNS), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, decoded="decoded")
     ids = F.sha2("ids", 256)
     return coded.select("doc_id", "lang", "source", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
