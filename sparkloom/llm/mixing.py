@@ -4,8 +4,8 @@ A source's documents, in keyed order, form one stream of words that is cut into
 come from the target weights; a binary tree over the output shards splits each node's quotas among its two
 halves by a multivariate hypergeometric draw, so every shard knows how many blocks of each source it gets.
 A keyed permutation orders a source's blocks; shards take disjoint intervals of that order (a second pass
-over the source has a permutation of its own) and shuffle what they hold by a local key. No row meets more
-than its own bucket of the stream, however much of the rows a source holds.
+over the source has a permutation of its own) and shuffle what they hold by a local key. A row meets only the
+rows of its own bucket of the stream, by a hash of key and text, however much of the rows a source holds.
 """
 
 from __future__ import annotations
@@ -85,20 +85,38 @@ class _Source:
         self.quota = REPEAT * self.blocks if target >= REPEAT * size else min(REPEAT * self.blocks, round(target / block))
         self.ends: list[int] = []
 
-    def pieces(self, offset: int, size: int, seed: int) -> list[dict]:
-        """What the mix takes of the words [offset, offset + size) of the stream, as word ranges of the document."""
-        if not size or not self.quota:
-            return []
-        i = np.arange(offset // self.block, (offset + size - 1) // self.block + 1)
-        lo, hi = np.maximum(i * self.block, offset) - offset, np.minimum((i + 1) * self.block, offset + size) - offset
+    def pieces(self, offsets: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
+        """What the mix takes of the words [offset, offset + size) of the stream, for each document of an array:
+        (document, shard, local, start, end), as word ranges of the document, pass after pass."""
+        held = np.flatnonzero(sizes > 0) if self.quota else np.empty(0, np.int64)
+        first = offsets[held] // self.block
+        n = (offsets[held] + sizes[held] - 1) // self.block - first + 1
+        row = np.repeat(held, n)
+        i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        lo, hi = np.maximum(i * self.block, offsets[row]) - offsets[row], np.minimum((i + 1) * self.block, offsets[row] + sizes[row]) - offsets[row]
         out = []
-        for turn in range(-(-self.quota // self.blocks)):
+        for turn in range(-(-self.quota // self.blocks) if len(row) else 0):
             at = permuted(i, self.blocks, seed * 1_000_003 + self.index * 31 + turn) + turn * self.blocks
-            shard = np.searchsorted(self.ends, at, "right")
+            took = np.flatnonzero(at < self.quota)
+            at = at[took]
             local = _mix64(at.astype(np.uint64) + np.uint64(self.index << 40)) >> np.uint64(1)
-            for k in np.flatnonzero(at < self.quota).tolist():
-                out.append({"shard": int(shard[k]), "local": int(local[k]), "start": int(lo[k]), "end": int(hi[k])})
-        return out
+            out.append((row[took], np.searchsorted(self.ends, at, "right"), local.astype(np.int64), lo[took], hi[took]))
+        return tuple(map(np.concatenate, zip(*out))) if out else tuple(np.empty((5, 0), np.int64))
+
+
+def _pieces(plan: dict[str, _Source], names: list[str], offsets: np.ndarray, sizes: np.ndarray, seed: int) -> pa.ListArray:
+    """The pieces of each document of a batch, source by source."""
+    codes, owner = np.unique(np.array(names, object), return_inverse=True)
+    parts = []
+    for k, name in enumerate(codes):
+        rows = np.flatnonzero(owner == k)
+        row, *rest = plan[name].pieces(offsets[rows], sizes[rows], seed)
+        parts.append((rows[row], *rest))
+    row, *columns = map(np.concatenate, zip(*parts)) if parts else np.empty((5, 0), np.int64)
+    order = np.argsort(row, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(names)))))
+    inner = pa.StructArray.from_arrays([pa.array(c[order], pa.int64()) for c in columns], ["shard", "local", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
 
 
 def draw(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None, weights: tuple = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -142,13 +160,13 @@ def draw(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     kinds = [df.schema[c].dataType for c in (key, *carry)]
     names = [key, *carry]
     schema = T.StructType([*[T.StructField(f"c{i}", k) for i, k in enumerate(kinds)], T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("pieces", _PIECES)])
-    piece = pa.list_(pa.struct([(n, pa.int64()) for n in ("shard", "local", "start", "end")]))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [plan[s] for s in b.column(0).to_pylist()]
-            pieces = [s.pieces(o, n, seed) for s, o, n in zip(got, b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[3:], b.column(2), pa.array([s.size for s in got], pa.int64()), pa.array([s.target for s in got], pa.float64()), pa.array(pieces, piece)], schema.names)
+            names = b.column(0).to_pylist()
+            got = [plan[s] for s in names]
+            pieces = _pieces(plan, names, b.column(1).to_numpy(), b.column(2).to_numpy(), seed)
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], b.column(2), pa.array([s.size for s in got], pa.int64()), pa.array([s.target for s in got], pa.float64()), pieces], schema.names)
 
     out = placed.select("__src", "__at", "__size", "__key", *[f"c{i}" for i in range(len(carry))]).mapInArrow(take, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "size", "source_size", "target", "pieces")
