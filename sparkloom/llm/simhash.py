@@ -4,8 +4,9 @@ A fingerprint is cut into four 16-bit segments on a ring. If two fingerprints di
 bits, some segment starts a chain whose cumulative differences stay within the proportional budgets
 0, 1, 2, 3 after one, two, three and four segments. So a pair is looked for under the 32-bit key
 (first segment exact, second within one flip), pruned by the three-segment budget and then checked in full.
-Keys that many fingerprints share go on to the 48-bit key (third segment within the rest of the budget
-of two), under which at most 2**16 distinct fingerprints exist: nothing is capped.
+Keys that many fingerprints share, or whose neighbours by one flip many share, go on to the 48-bit key (third
+segment within the rest of the budget of two), under which at most 2**16 distinct fingerprints exist: nothing
+is capped.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ from sparkloom.operators.components import connected_components
 from sparkloom.runtime import Scratch, give_back, partitions, ship
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Fingerprints under one 32-bit key beyond which the 48-bit key is used.
-HOT_KEY = 1024
+#: Rows under one 32-bit key, flipped ones included, beyond which the 48-bit key is used.
+HOT_KEY = 4096
+#: Hot keys that a join broadcasts at most (24 bytes each).
+_BROADCAST_KEYS = 100_000
 _BLOCK = 1 << 15
+#: By the segment that a chain starts at, the bits of its first three segments.
+_CHAINS = [np.uint64(sum(0xFFFF << 16 * ((i + j) % 4) for j in range(3))) for i in range(4)]
 
 
 def simhash(text: str | None, k: int = SHINGLE) -> int:
@@ -95,10 +100,11 @@ def _links(it: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBat
             own = fps[s:e].view(np.uint64)
             exact = int((roles[s:e] == 0).sum())
             label = np.arange(len(own))
+            chain = _CHAINS[int(keys[s]) >> 48 & 3]
             for a in range(exact):
                 x = own ^ own[a]
-                near = np.flatnonzero((np.bitwise_count(x) <= distance) & (label != label[a]))
-                for b in near.tolist():
+                held = np.flatnonzero((np.bitwise_count(x & chain) <= 2) & (label != label[a]))
+                for b in held[np.bitwise_count(x[held]) <= distance].tolist():
                     if label[b] != label[a]:
                         us.append(int(fps[s + a]))
                         vs.append(int(fps[s + b]))
@@ -118,7 +124,7 @@ def _links(it: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["src", "dst"])
 
 
-def hamming_links(fps: DataFrame, distance: int = DISTANCE, hot_key: int = HOT_KEY) -> DataFrame:
+def hamming_links(fps: DataFrame, distance: int = DISTANCE, hot_key: int = HOT_KEY, scratch: Scratch | None = None) -> DataFrame:
     """Links (src, dst) that connect exactly the distinct fingerprints ``distance`` (3 at most) or fewer bits apart.
 
     ``fps`` has one distinct, non-null long column fp. Under a key only a spanning forest of the links
@@ -128,12 +134,16 @@ def hamming_links(fps: DataFrame, distance: int = DISTANCE, hot_key: int = HOT_K
         raise ValueError("the chain budgets are those of at most three differing bits")
     spark = fps.sparkSession
     ship(spark)
+    scratch = scratch or Scratch(spark, "hamming")
     rows = _keyed(fps)
-    hot = rows.where("role = 0").groupBy("top", "pair").count().where(F.col("count") > hot_key).select("top", "pair").cache()
-    n = hot.limit(100_001).count()
+    # A key's rows are those of its own fingerprints and of its 16 neighbours', so where all 17 are few it is not hot.
+    warm = rows.where("role = 0").groupBy("top", "pair").count().where(F.col("count") > hot_key // 17)
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(16)])
+    hot = scratch.stage(warm.select("top", F.explode(F.transform(flips, lambda x: F.col("pair").bitwiseXOR(x))).alias("pair")).distinct())
+    n = hot.count()
     narrow = rows.select((F.col("top").bitwiseOR(F.lit(1 << 60)).bitwiseOR(F.col("pair"))).alias("key"), "role", "fp", "top", "pair", "third")
     if n:
-        side = F.broadcast(hot) if n <= 100_000 else hot
+        side = F.broadcast(hot) if n <= _BROADCAST_KEYS else hot
         masks = [0, *(1 << b for b in range(16)), *((1 << a) | (1 << b) for a in range(16) for b in range(a))]
         few, many = F.array(*[F.lit(x) for x in masks[:17]]), F.array(*[F.lit(x) for x in masks])
         deep = rows.join(side, ["top", "pair"], "left_semi")
@@ -147,35 +157,53 @@ def hamming_links(fps: DataFrame, distance: int = DISTANCE, hot_key: int = HOT_K
     return dealt.mapInArrow(lambda it: _links(it, distance), "src long, dst long")
 
 
+def _components(fps: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """``fps``, one row a fingerprint, with component_fp: the least fingerprint that links reach from it."""
+    links = scratch.stage(hamming_links(fps.select("fp"), distance, scratch=scratch))
+    parts = connected_components(links, scratch).withColumnRenamed("node", "fp")
+    return fps.join(parts, "fp", "left").withColumn("component_fp", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component_fp, component_id) for each row of ``df``.
 
     Fingerprints link at ``distance`` or fewer differing bits; a component is what links reach.
     component_id is the least non-null key in it (null if it has none), component_fp a name for it.
-    Empty and null texts share fingerprint 0 and link like any other. Repeated rows stay repeated.
+    Empty and null texts share fingerprint 0 and link like any other. Repeated rows stay repeated; an empty
+    table gives none. Other columns of ``df``, whatever their names, take no part.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(df.sparkSession, "simhash")
     rows = scratch.stage(fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "fp", k).select("key", "fp"))
     fps = scratch.stage(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    links = scratch.stage(hamming_links(fps.select("fp"), distance))
-    parts = connected_components(links, scratch).withColumnRenamed("node", "fp")
-    named = fps.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component_fp"))
+    named = scratch.stage(_components(fps, distance, scratch))
     ids = named.groupBy("component_fp").agg(F.min("least").alias("component_id"))
     named = scratch.stage(named.join(ids, "component_fp").select("fp", "component_fp", "component_id"))
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_fp", "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row left of each group of near duplicates: that of the least key (nulls last), then fingerprint, then text."""
-    found = near_duplicates(df, key, text)
-    firsts = found.groupBy("component_fp").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), "fp")).alias("best"))
-    best = firsts.select("best.k", "best.fp")
-    hashed = fingerprint(df, text, "__fp")
-    kept = hashed.join(best, (hashed[key].eqNullSafe(best["k"])) & (hashed["__fp"] == best["fp"]), "left_semi")
-    # A fingerprint is in one component only, while components can share their least key or have none.
-    one = kept.groupBy("__fp").agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(text)).alias("row"))
-    return one.select("row.*")
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """``df`` with exactly one row left of each component of near duplicates.
+
+    That row has the least key (nulls last), then the least fingerprint, then the least text; of rows that are equal
+    in all these, the first by their columns as JSON. So unlike texts under one key, or under none, all stay. Texts
+    are fingerprinted once; they move once, to join the chosen rows by a 128-bit hash of key and text.
+    """
+    scratch = Scratch(df.sparkSession, "keep")
+    hashes = [F.xxhash64(F.lit(i), F.col(key), F.col(text)).alias(f"h{i}") for i in (1, 2)]
+    slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *hashes)
+    rows = scratch.stage(fingerprint(slim, "text", "fp", k).select("key", "fp", "h1", "h2"))
+    rank = F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"))
+    fps = scratch.stage(rows.groupBy("fp").agg(F.min(rank).alias("least")))
+    best = _components(fps, distance, scratch).groupBy("component_fp").agg(F.min(F.struct("least.n", "least.k", "fp")).alias("best"))
+    best = best.select("component_fp", F.col("best.k").alias("k"), F.col("best.fp").alias("fp"))
+    texts = rows.groupBy("key", "fp", "h1", "h2").agg(F.count("*").alias("rows"))
+    first = scratch.stage(texts.join(best, "fp").where(F.col("key").eqNullSafe(F.col("k"))).select("component_fp", "h1", "h2", "rows"))
+    chosen = scratch.stage(first.join(first.groupBy("component_fp").agg(F.count("*").alias("texts")), "component_fp"))
+    packed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), *hashes)
+    sole = packed.join(chosen.where("texts = 1"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min_by("row", F.struct(F.when(F.col("rows") > 1, F.to_json("row")))).alias("row"))
+    # Texts that tie, in case alone perhaps, are compared as they are.
+    tied = packed.join(chosen.where("texts > 1"), ["h1", "h2"]).groupBy("component_fp").agg(F.min_by("row", F.struct(F.col(f"row.`{text}`"), F.to_json("row"))).alias("row"))
+    return sole.select("row.*").unionByName(tied.select("row.*"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
