@@ -13,11 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sparkloom.runtime import ship
+from sparkloom.runtime import give_back, ship
 
 WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4), 12, 12
-#: Labelled rows the network learns from, in all: a bounded sample that is even over the languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES = 4000, 768, 256
+#: Labelled rows the network learns from, in all: a bounded sample that is even over the languages, of whole texts.
+SAMPLE_ROWS = 1200
+#: Languages whose counts a join broadcasts at most (a name and a number each).
+_BROADCAST_LANGUAGES = 10_000
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.004, 11
 UNKNOWN = "und"
 
@@ -131,34 +133,34 @@ def held_out(key: str) -> Column:
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> ByteCNN | None:
     """A network learned from a bounded sample of the labelled rows that are not held out; None without any.
 
-    Each language gives at most its even share of ``rows``, taken by a hash of key and text, so the sample does not
-    depend on how rows are dealt out; long texts give a stretch from their middle.
+    Each language gives about its even share of ``rows`` (with more languages than rows, each gives less than one row
+    on average, and those that none is drawn of are not learned), taken by a hash of key and text, so the sample does
+    not depend on how rows are dealt out. Sampled texts are learned from whole.
     """
-    body = F.col(text)
-    from_ = F.greatest(F.lit(1), ((F.length(body) - SAMPLE_CHARS) / 2).cast("int"))
-    usable = df.where(F.col(lang).isNotNull() & (F.length(body) > 0) & ~held_out(key)).select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), body.substr(from_, F.lit(SAMPLE_CHARS)).alias("text"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if not counts:
+    usable = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(key, text).alias("h")).where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("key"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = rows / len(counts)
-    take = F.lit(False)
-    for name, n in sorted(counts.items()):
-        take = take | ((F.col("lang") == name) & (F.pmod(F.col("h"), F.lit(1 << 30)) < int(min(1.0, share / n) * (1 << 30))))
-    got = sorted((r["lang"], r["h"], r["text"]) for r in usable.where(take).collect())
-    labels = sorted(counts)
+    share = F.least(F.lit(1.0), F.lit(rows / languages) / F.col("n"))
+    limits = counts.select("lang", (share * (1 << 30)).cast("long").alias("limit"))
+    limits = F.broadcast(limits) if languages <= _BROADCAST_LANGUAGES else limits
+    drawn = usable.join(limits, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("limit"))
+    got = sorted((r["lang"], r["h"], r["text"]) for r in drawn.select("lang", "h", "text").distinct().collect())
     if not got:
         return None
+    labels = sorted({name for name, _, _ in got})
+    index = {name: i for i, name in enumerate(labels)}
     x, owner, _ = windows([t.encode("utf-8", "surrogatepass") for _, _, t in got])
-    y = np.array([labels.index(name) for name, _, _ in got])[owner]
+    y = np.array([index[name] for name, _, _ in got])[owner]
     return ByteCNN(labels).fit(x, y)
 
 
 def predict(df: DataFrame, model: ByteCNN | None, text: str = "text") -> DataFrame:
     """``df`` with lang_pred and score, from the text alone.
 
-    A null text, or one without a letter, is ``und`` with score 0; so is all without a model.
+    A null text, or one without a letter, is ``und`` with score 0; so is all without a model. Columns lang_pred and
+    score that ``df`` has already are replaced; other columns and repeated rows stay as they are.
     """
     ship(df.sparkSession)
     import pandas as pd
@@ -185,11 +187,13 @@ def predict(df: DataFrame, model: ByteCNN | None, text: str = "text") -> DataFra
                     names.append(name)
                     scores.append(min(1.0, score))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        give_back()
 
     each.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    found = df.withColumn("__p", F.pandas_udf(each, kind)(F.col(text)))
-    return found.withColumn("lang_pred", F.col("__p.lang_pred")).withColumn("score", F.col("__p.score")).drop("__p")
+    own = [c for c in df.columns if c not in ("lang_pred", "score")]
+    found = df.select(F.struct(*[F.col(c) for c in own]).alias("row"), F.pandas_udf(each, kind)(F.col(text)).alias("found"))
+    return found.select("row.*", "found.lang_pred", "found.score")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
