@@ -1,14 +1,16 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the words of a text and their stems (first letters), with weights of zero or more, so that
-a long text is not excused by its length. It is trained in numpy on a bounded sample of labelled rows. For each
-labelled text that names a group, a counterfactual with the group's name swapped for another of its kind is made,
-and the squared change of the score is penalised: naming a group in itself must not move the score.
+a long text is not excused by its length. It is trained in numpy on a bounded sample of labelled rows. Every
+labelled text gives counterfactuals: a group that it names is swapped for another of its kind; into a text that
+names none, a neutral mention is put, and that is swapped too. The squared changes of the score, by the swap and by
+the mention, are penalised: naming a group in itself must not move the score.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,9 +20,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sparkloom.llm.langid import held_out
 from sparkloom.runtime import give_back, ship
 
-#: Labelled rows learned from at most, by label; letters of the stems; features kept.
-TOXIC_ROWS, CLEAN_ROWS, STEMS, FEATURES = 2500, 5000, (4, 5), 800
-STEPS, RATE, SPARSITY, COUNTERFACTUAL, THRESHOLD = 500, 0.05, 5e-5, 1.0, 0.3
+#: Labelled rows learned from at most, by label; letters of the stems; how much likelier in toxic texts a feature must be.
+TOXIC_ROWS, CLEAN_ROWS, STEMS, STRENGTH = 2500, 5000, (4, 5), 1.2
+STEPS, RATE, SPARSITY, COUNTERFACTUAL, THRESHOLD = 500, 0.05, 2e-5, 10.0, 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Names of groups, by kind; those of one kind stand in for each other.
@@ -34,6 +36,7 @@ IDENTITY = {
     "age": "elderly young old teenage".split(),
 }
 _KIND = {w: (kind, i) for kind, words in IDENTITY.items() for i, w in enumerate(words)}
+_TERMS = list(_KIND)
 
 
 def words(text: str | None) -> set[str]:
@@ -45,19 +48,49 @@ def features(found: set[str]) -> set[str]:
     return found | {f"{w[:n]}*" for w in found for n in STEMS if len(w) > n}
 
 
-def counterfactual(found: set[str]) -> set[str] | None:
-    """The words with each name of a group swapped for the next of its kind; None without one."""
+def swapped(found: set[str]) -> set[str]:
+    """The words with each name of a group swapped for the next of its kind."""
     named = found & _KIND.keys()
-    if not named:
-        return None
     return (found - named) | {IDENTITY[k][(i + 1) % len(IDENTITY[k])] for k, i in (_KIND[w] for w in named)}
 
 
+def counterfactuals(found: set[str], pick: int) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets whose scores should be equal. A text without a group's name is given the one that ``pick`` says."""
+    if found & _KIND.keys():
+        return [(found, swapped(found))]
+    mention = found | {_TERMS[pick % len(_TERMS)]}
+    return [(mention, found), (mention, swapped(mention))]
+
+
+class _Matrix:
+    """Rows of few non-zero numbers."""
+
+    def __init__(self, columns: int) -> None:
+        self.columns, self.rows = columns, 0
+        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, plus: list[int], minus: list[int] = []) -> None:  # noqa: B006
+        at = np.array([*plus, *minus], np.int64)
+        self._parts.append((np.full(len(at), self.rows), at, np.repeat([1.0, -1.0], [len(plus), len(minus)])))
+        self.rows += 1
+
+    def close(self) -> _Matrix:
+        self.row, self.col, self.val = map(np.concatenate, zip(*self._parts)) if self._parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        del self._parts
+        return self
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.val * w[self.col], self.rows)
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.val * e[self.row], self.columns)
+
+
 class Toxicity:
-    """Weights of features, and a base."""
+    """Weights of features, and a base; ``pairs`` is how many counterfactual pairs held them."""
 
-    def __init__(self, weights: dict[str, float], base: float) -> None:
-        self.weights, self.base = weights, base
+    def __init__(self, weights: dict[str, float], base: float, pairs: int = 0) -> None:
+        self.weights, self.base, self.pairs = weights, base, pairs
 
     def score(self, text: str | None) -> float:
         w = self.weights
@@ -71,52 +104,49 @@ class Toxicity:
         n1, n0 = int(y.sum()), len(y) - int(y.sum())
         if not n1 or not n0:
             return Toxicity({}, 8.0 if n1 else -8.0)
-        hits = Counter(f for t, l in zip(texts, labels) if l for f in features(words(t)))
-        hits = {f: k for f, k in hits.items() if k >= 2}
-        misses = Counter(f for t, l in zip(texts, labels) if not l for f in features(words(t)) if f in hits)
 
-        def strength(f: str) -> float:
-            """How much likelier toxic texts are to have it, as a logarithm, less its standard error."""
-            a, b = hits[f] + 0.5, misses[f] + 0.5
+        def strength(hits, misses):
+            """How much likelier toxic texts are to have a feature, as a logarithm, less its standard error."""
+            a, b = hits + 0.5, misses + 0.5
             return np.log(a / (n1 + 1)) - np.log(b / (n0 + 1)) - np.sqrt(1 / a + 1 / b)
 
-        strong = {f: strength(f) for f in hits}
-        names = [f for f in sorted(hits, key=lambda f: (-strong[f], f))[:FEATURES] if strong[f] > 1.2]
-        names = sorted({*names, *features(set(_KIND))})
+        hits = Counter(f for t, l in zip(texts, labels) if l for f in features(words(t)))
+        # Features that no lack of clean texts could make strong enough needn't be counted there.
+        least = next((k for k in range(1, n1 + 1) if strength(k, 0) > STRENGTH), n1 + 1)
+        hits = {f: k for f, k in hits.items() if k >= least}
+        misses = Counter(f for t, l in zip(texts, labels) if not l for f in features(words(t)) if f in hits)
+        strong = {f: float(strength(k, misses[f])) for f, k in hits.items()}
+        names = sorted({*(f for f, x in strong.items() if x > STRENGTH), *features(set(_KIND))})
         at = {f: i for i, f in enumerate(names)}
+        index = lambda found: [at[f] for f in features(found) if f in at]
         # The weaker a feature's own evidence, the more its weight costs.
         cost = SPARSITY * np.array([min(100.0, (5 / max(strong.get(f, 0.0), 0.1)) ** 3) for f in names])
-        x = np.zeros((len(y), len(names)), np.float32)
-        swaps = []
-        for i, ws in enumerate(map(words, texts)):
-            x[i, [at[f] for f in features(ws) if f in at]] = 1
-            other = counterfactual(ws)
-            if other is not None:
-                d = x[i].copy()
-                d[[at[f] for f in features(other) if f in at]] -= 1
-                swaps.append(d)
-        d = np.array(swaps, np.float32) if swaps else np.zeros((0, len(names)), np.float32)
+        x, d = _Matrix(len(names)), _Matrix(len(names))
+        for t in texts:
+            found = words(t)
+            x.add(index(found))
+            for one, other in counterfactuals(found, zlib.crc32(t.encode("utf-8", "surrogatepass"))):
+                d.add(index(one), index(other))
+        x.close(), d.close()
         each = np.where(y == 1, 0.5 / n1, 0.5 / n0)
         w, base = np.zeros(len(names)), -2.0
         m, v, bm, bv = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
         for t in range(1, STEPS + 1):
-            e = each * (1 / (1 + np.exp(-(x @ w.astype(np.float32) + base))) - y)
-            g = x.T @ e.astype(np.float32) + cost
-            if len(d):
-                g = g + 2 * counterfactual_weight / len(d) * (d.T @ (d @ w.astype(np.float32)))
+            e = each * (1 / (1 + np.exp(-(x.dot(w) + base))) - y)
+            g = x.back(e) + cost + 2 * counterfactual_weight / d.rows * d.back(d.dot(w))
             b = e.sum()
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             bm, bv = 0.9 * bm + 0.1 * b, 0.999 * bv + 0.001 * b * b
             w = np.maximum(0, w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
             base -= RATE * (bm / (1 - 0.9**t)) / (np.sqrt(bv / (1 - 0.999**t)) + 1e-8)
-        return Toxicity({f: float(k) for f, k in zip(names, w) if k > 1e-3}, float(base))
+        return Toxicity({f: float(k) for f, k in zip(names, w) if k > 1e-3}, float(base), d.rows)
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Toxicity:
     """Learned from at most (about) ``toxic_rows`` and ``clean_rows`` labelled rows that are not held out, picked by a hash of the key.
 
-    Null labels and null texts are not learned from. Without both labels every score is that of the one there is,
-    and low if there is none.
+    Null labels and null texts are not learned from; a key of several rows gives its least text. Without both labels
+    every score is that of the one there is, and low if there is none.
     """
     known = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.max(toxic).alias("y"))
     known = known.withColumn("u", F.pmod(F.xxhash64("k"), F.lit(1 << 30)))
@@ -126,8 +156,8 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         if n := counts.get(label):
             take = take | ((F.col("y") == label) & (F.col("u") < int(min(1.0, most / n) * (1 << 30))))
     picked = F.broadcast(known.where(take).select("k", "y"))  # no more rows than the sample's bound
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(picked, "k").select("k", "t", "y").collect()
-    rows = sorted({(r["k"], r["t"], int(r["y"])) for r in rows})
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(picked, "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect()
+    rows = sorted((r["k"], r["t"], int(r["y"])) for r in rows)
     if not rows:
         return Toxicity({}, -8.0)
     return Toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
@@ -138,7 +168,7 @@ def score(df: DataFrame, model: Toxicity, text: str = "text", out: str = "score"
     ship(df.sparkSession)
     import pandas as pd
 
-    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.base))  # FEATURES weights at most
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.base))  # words and stems of the bounded sample at most
 
     def each(it: Iterator) -> Iterator:
         own = Toxicity(*shared.value)

@@ -190,7 +190,10 @@ def test_language(spark, empty, small):
 
 
 def test_toxicity(spark, empty):
-    assert toxicity.counterfactual({"the", "women"}) == {"the", "men"} and toxicity.counterfactual({"the"}) is None
+    assert toxicity.swapped({"the", "women"}) == {"the", "men"} and toxicity.swapped({"the"}) == {"the"}
+    assert toxicity.counterfactuals({"the", "women"}, 3) == [({"the", "women"}, {"the", "men"})]
+    (one, other), (_, swap) = toxicity.counterfactuals({"the"}, 1)
+    assert other == {"the"} and len(one) == 2 and swap == toxicity.swapped(one) != one
     texts = [f"the cat {i} sat with women" for i in range(40)] + [f"you idiot {i} women" for i in range(40)] + [f"fine {i} day" for i in range(40)]
     labels = [int(40 <= i < 60 or 70 <= i < 80) if 40 <= i < 80 else int(i < 6) for i in range(120)]
     free, held = (toxicity.Toxicity.fit(texts, labels, w) for w in (0.0, 50.0))
@@ -203,6 +206,36 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels_df)).collect() == []
 
 
+def test_counterfactual_penalty():
+    """Where a group's name goes along with toxic labels, the penalty keeps neutral mentions of it from counting as toxic."""
+    rng = np.random.default_rng(8)
+    plain = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(200)]
+    line = lambda *extra: " ".join([*rng.choice(plain, 12), *extra])
+    toxic = [line("idiot", "muslims") if i % 4 else line("idiot") for i in range(120)] + [line("muslims") for _ in range(20)]
+    clean = [line() for _ in range(300)] + [line("muslims") for _ in range(6)]
+    texts, labels = toxic + clean, [1] * len(toxic) + [0] * len(clean)
+    free, held = (toxicity.Toxicity.fit(texts, labels, w) for w in (0.0, toxicity.COUNTERFACTUAL))
+    assert held.pairs >= len(texts)  # every labelled text gives at least one
+    neutral = [line(group) for group in ("muslims", "christians", "women", "deaf") for _ in range(25)]
+    false = lambda m: sum(m.score(t) >= toxicity.THRESHOLD for t in neutral)
+    change = lambda m: sum(abs(m.score(t) - m.score(t.replace("muslims", "christians"))) for t in neutral)
+    assert false(held) < false(free) and change(held) < change(free)
+    assert all(held.score(line("idiot")) >= toxicity.THRESHOLD for _ in range(20))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """A key that many rows share gives one text to learn from."""
+    rows = spark.createDataFrame([(1, f"idiot {i}") for i in range(50)] + [(3, "fine day")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0)], "doc_id long, toxic int")
+    got = []
+    fit, toxicity.Toxicity.fit = toxicity.Toxicity.fit, staticmethod(lambda texts, labels: got.append((texts, labels)))
+    try:
+        toxicity.train(rows, labels)
+    finally:
+        toxicity.Toxicity.fit = fit
+    assert got == [(["idiot 0", "fine day"], [1, 0])]
+
+
 def test_simhash(spark, docs, empty):
     words = "one two three four five".split()
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(3)]
