@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparkloom.runtime import Scratch
 
 _TOKEN = re.compile(r'\s*(?:(?P<str>"(?:[^"\\]|\\.)*")|(?P<num>-?\d+)|(?P<op><--|!=|==|<=|>=|&&|\|\||[<>!(),;.=_](?!\w)|[!(),;.])|(?P<name>\w+))')
+#: Rounds after which what was derived is written as one table, so that plans of deep recursions stay short.
+MERGE = 50
 _TESTS = {"==": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
 
 
@@ -50,6 +52,13 @@ class Guard:
     right: object
 
 
+@dataclass
+class Either:
+    """Guards of which all in one of the lists must hold."""
+
+    ways: list[list[Guard]]
+
+
 @dataclass
 class Count:
     var: str
@@ -110,6 +119,20 @@ class _Parser:
         self.take(")")
         return Atom(name, terms)
 
+    def guard(self) -> Guard:
+        negated = self.peek() == "!"
+        if negated:
+            self.take()
+        left = self.term()
+        if self.peek() == ".":
+            self.take()
+            name = self.take()[1]
+            self.take("(")
+            right = None if self.peek() == ")" else self.term()
+            self.take(")")
+            return Guard(left, ("!" if negated else "") + name, right)
+        return Guard(left, self.take()[1], self.term())
+
     def clause(self):
         if self.peek() == "!":
             self.take()
@@ -118,18 +141,12 @@ class _Parser:
             return a
         if self.peek() == "if":
             self.take()
-            negated = self.peek() == "!"
-            if negated:
-                self.take()
-            left = self.term()
-            if self.peek() == ".":
-                self.take()
-                name = self.take()[1]
-                self.take("(")
-                right = None if self.peek() == ")" else self.term()
-                self.take(")")
-                return Guard(left, ("!" if negated else "") + name, right)
-            return Guard(left, self.take()[1], self.term())
+            either = [[self.guard()]]
+            while self.peek() in ("||", "&&"):
+                if self.take()[1] == "||":
+                    either.append([])
+                either[-1].append(self.guard())
+            return either[0][0] if len(either) == len(either[0]) == 1 else Either(either)
         if self.peek() == "agg":
             self.take()
             var = self.take()[1]
@@ -225,7 +242,9 @@ def _value(t) -> Column:
     return F.col(t.name) if isinstance(t, Var) else F.lit(t)
 
 
-def _guard(g: Guard) -> Column:
+def _guard(g: Guard | Either) -> Column:
+    if isinstance(g, Either):
+        return reduce(Column.__or__, [reduce(Column.__and__, map(_guard, way)) for way in g.ways])
     left = _value(g.left)
     if g.test in _TESTS:
         return getattr(left, _TESTS[g.test])(_value(g.right))
@@ -236,12 +255,14 @@ def _guard(g: Guard) -> Column:
     return ~tests[name]() if no else tests[name]()
 
 
-def _body(rule: Rule, relations: dict[str, DataFrame], swap: int = -1, delta: DataFrame | None = None) -> DataFrame:
-    """A rule's head tuples; the clause at ``swap`` reads ``delta`` instead of its relation."""
+def _body(rule: Rule, relations: dict[str, DataFrame], swap: int = -1, delta: DataFrame | None = None, spark=None) -> DataFrame:
+    """A rule's head tuples; the clause at ``swap`` reads ``delta`` instead of its relation. A rule without a body is a fact."""
+    if not rule.body and spark is not None:
+        return spark.range(1).select(*[F.lit(t).alias(f"c{i}") for i, t in enumerate(rule.head.terms)])
     now: DataFrame | None = None
     guards, late = [], []
     for i, c in enumerate(rule.body):
-        if isinstance(c, Guard):
+        if isinstance(c, Guard | Either):
             guards.append(c)
         elif isinstance(c, Count) or c.negated:
             late.append(c)
@@ -280,8 +301,11 @@ def _body(rule: Rule, relations: dict[str, DataFrame], swap: int = -1, delta: Da
     return now.select(*[_value(t).alias(f"c{i}") for i, t in enumerate(rule.head.terms)]).distinct()
 
 
-def evaluate(text: str, base: dict[str, DataFrame], scratch: Scratch, max_rounds: int = 200) -> dict[str, DataFrame]:
-    """All derived relations of a program over base relations; columns of derived ones are c0, c1 and so on."""
+def evaluate(text: str, base: dict[str, DataFrame], scratch: Scratch, max_rounds: int = 0) -> dict[str, DataFrame]:
+    """All derived relations of a program over base relations; columns of derived ones are c0, c1 and so on.
+
+    More than ``max_rounds`` rounds of recursion are an error, where it isn't 0.
+    """
     _, rules = parse(text)
     relations = dict(base)
     for group in strata(rules):
@@ -289,17 +313,21 @@ def evaluate(text: str, base: dict[str, DataFrame], scratch: Scratch, max_rounds
         recursive = {h for h in group if any(name in group for r in own if r.head.relation == h for name, _ in _reads(r))}
         union = lambda parts: reduce(DataFrame.union, parts).distinct()
         for h in [h for h in group if h not in recursive]:
-            relations[h] = union([_body(r, relations) for r in own if r.head.relation == h])
+            relations[h] = union([_body(r, relations, spark=scratch.spark) for r in own if r.head.relation == h])
         if not recursive:
             continue
         facts, fresh = {}, {}
         for h in recursive:
-            start = [_body(r, relations) for r in own if r.head.relation == h and not any(name in recursive for name, _ in _reads(r))]
+            start = [_body(r, relations, spark=scratch.spark) for r in own if r.head.relation == h and not any(name in recursive for name, _ in _reads(r))]
             if start:
                 facts[h] = fresh[h] = scratch.stage(union(start))
         if not facts:
             raise DatalogError(f"{', '.join(group)}: no rule to start from")
-        for _ in range(max_rounds):
+        rounds = 0
+        while True:
+            rounds += 1
+            if rounds > max_rounds > 0:
+                raise DatalogError(f"no fixpoint in {max_rounds} rounds")
             step: dict[str, list[DataFrame]] = {}
             for r in own:
                 for i, c in enumerate(r.body):
@@ -316,8 +344,8 @@ def evaluate(text: str, base: dict[str, DataFrame], scratch: Scratch, max_rounds
                 break
             for h, new in fresh.items():
                 facts[h] = facts[h].unionByName(new) if h in facts else new
-        else:
-            raise DatalogError(f"no fixpoint in {max_rounds} rounds")
+                if rounds % MERGE == 0:
+                    facts[h] = scratch.stage(facts[h])
         some = next(iter(facts.values()))
         for h in recursive - facts.keys():  # nothing was derived
             arity = next(len(r.head.terms) for r in own if r.head.relation == h)

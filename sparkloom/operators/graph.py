@@ -186,6 +186,34 @@ def longest_depth(edges: DataFrame, scratch: Scratch, max_rounds: int = 0) -> Da
     return parts.join(top.toDF("component", "depth"), "component").select("node", "depth")
 
 
+def blast_radius(reached: DataFrame, tests: DataFrame) -> DataFrame:
+    """(node, direct, transitive, depth, untested): how many others lie one step back, and farther; how many are no tests.
+
+    ``reached`` is (start, node, depth) against the edges' direction and ``tests`` (node, is_test).
+    """
+    count = lambda c: F.sum(c.cast("long"))
+    both = reached.where("start <> node").join(tests, "node")
+    return both.groupBy(F.col("start").alias("node")).agg(count(F.col("depth") == 1).alias("direct"), count(F.col("depth") > 1).alias("transitive"), F.max("depth").alias("depth"), count(~F.col("is_test")).alias("untested"))
+
+
+def reachable_totals(edges: DataFrame, cost: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, total, most): the cost summed over the node and all it reaches, and the largest cost reached beside its own.
+
+    ``cost`` is (node, cost). Only strong components are closed over, so no pairs of nodes are made; nodes that reach
+    no other have no row.
+    """
+    parts = scratch.stage(strongly_connected(edges, scratch).join(cost.toDF("node", "cost"), "node"))
+    own = parts.groupBy("component").agg(F.count("*").alias("n"), F.sum("cost").alias("sum"), F.max("cost").alias("top"), F.slice(F.sort_array(F.collect_set("cost"), False), 1, 2).alias("tops"))
+    alike = parts.join(own.select("component", "top"), "component").groupBy("component").agg(F.sum((F.col("cost") == F.col("top")).cast("int")).alias("with_top"))
+    own = scratch.stage(own.join(alike, "component"))
+    below = closure(fold(edges, parts.select("node", "component")), scratch).join(own.select(F.col("component").alias("dst"), "sum", "top"), "dst")
+    below = below.groupBy(F.col("src").alias("component")).agg(F.sum("sum").alias("below"), F.max("top").alias("below_top"))
+    both = parts.join(own, "component").join(below, "component", "left")
+    beside = F.when((F.col("cost") < F.col("top")) | (F.col("with_top") > 1), F.col("top")).otherwise(F.element_at("tops", 2))
+    out = both.where("n > 1 or below is not null")
+    return out.select("node", "cost", (F.col("sum") + F.coalesce("below", F.lit(0))).alias("total"), F.greatest(F.when(F.col("n") > 1, beside), "below_top").alias("most"))
+
+
 def layering(edges: DataFrame, depth: DataFrame, layer: DataFrame) -> DataFrame:
     """(layer, down, up, level, compliance): edges towards layers of larger, smaller, equal mean depth; 1 without any.
 

@@ -30,16 +30,15 @@ def touches(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item"))
 
 
-def part_edges(spark: SparkSession, d: str, least: int, upward: bool = False) -> DataFrame:
-    """Edges between the parts of consecutive lines of an order, where the first was returned and both are of ``least`` or more; ``upward``: only to larger keys, which leaves no cycles."""
-    rows = load(spark, d, "lineitem").where(F.col("l_quantity") >= least)
+def part_edges(spark: SparkSession, d: str, loops: bool = False) -> DataFrame:
+    """The import edges: from the part of each returned line to that of the order's next line. Returned lines stand for imports, others for calls."""
+    rows = load(spark, d, "lineitem")
     a = rows.where("l_returnflag = 'R'").select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").alias("src"))
     b = rows.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("dst"))
-    return a.join(b, ["l_orderkey", "n"]).where("src < dst" if upward else "src <> dst").select("src", "dst").distinct()
+    return a.join(b, ["l_orderkey", "n"]).where("true" if loops else "src <> dst").select("src", "dst").distinct()
 
 
-def edges_sql(least: int, upward: bool = False) -> str:
-    return (
-        "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 "
-        f"WHERE a.l_returnflag = 'R' AND a.l_quantity >= {least} AND b.l_quantity >= {least} AND a.l_partkey {'<' if upward else '<>'} b.l_partkey"
-    )
+EDGES = (
+    "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 "
+    "WHERE a.l_returnflag = 'R' AND a.l_partkey <> b.l_partkey"
+)

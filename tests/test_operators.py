@@ -1,12 +1,14 @@
 """Characterisation cases of the graph, rule, history and gate operators."""
 
 import random
+import re
 from inspect import signature
 
 import duckdb
 import pytest
 
-from sparkloom.datalog import engine
+from sparkloom.datalog import diagnostics, engine
+from sparkloom.functions import globs
 from sparkloom.datalog.rules import RULES
 from sparkloom.operators import facts, gates, graph, history, sessions, text
 from sparkloom.operators.components import connected_components
@@ -132,41 +134,50 @@ def brute_reach(pairs):
     return out
 
 
-def test_whole_graphs(spark, tmp_path):
+def test_graphs(spark, tmp_path):
     rng = random.Random(7)
-    lines = [(o, n, rng.randint(1, 30), rng.choice("RRN"), rng.randint(1, 50)) for o in range(24) for n in range(1, 4)]
-    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_quantity int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    lines = [(o, n, rng.randint(1, 30), rng.choice("RRN")) for o in range(24) for n in range(1, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame([(i, f"B{i % 4}", i % 5 + 1) for i in range(1, 34)], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    by = {(o, n): p for o, n, p, *_ in lines}
-    pairs = {(p, by[o, n + 1]) for o, n, p, flag, _ in lines if flag == "R" and (o, n + 1) in by and p != by[o, n + 1]}
+    by = {(o, n): p for o, n, p, _ in lines}
+    pairs = {(p, by[o, n + 1]) for o, n, p, flag in lines if flag == "R" and (o, n + 1) in by and p != by[o, n + 1]}
     far = brute_reach(pairs)
-    run = lambda name: rows(catalogue.QUERIES[f"{name}_whole"](spark, str(tmp_path)))
+    run = lambda name: rows(catalogue.QUERIES[name](spark, str(tmp_path)))
     strong = {n: min(m for m in far[n] if n in far[m]) for n in far}
     assert len(set(strong.values())) < len(far)  # it has cycles
     assert run("scc") == sorted(strong.items())
-    assert run("bfs_depth") == sorted({(a, b, d) for a in far for b, d in far[a].items() if d} | {(a, a, 1 + min(far[b][a] for x, b in pairs if x == a and a in far[b])) for a in far if any(x == a and a in far[b] for x, b in pairs)})
-    assert [r[:3] for r in run("shortest_path")] == sorted((a, b, d) for a in far for b, d in far[a].items() if d)
     count = {n: sum(n in far[m] for m in far) - 1 for n in far}
     assert run("dependents") == sorted((n, c) for n, c in count.items() if c)
     assert run("graph_stats")[0][:2] == (len(far), len(pairs))
     assert run("dead_nodes") == sorted({(a,) for a, _ in pairs} - {(b,) for _, b in pairs})
     assert run("orphan_nodes") == [(i,) for i in range(1, 34) if i not in far]
-    weak = brute_reach(pairs | {(b, a) for a, b in pairs})
+    both = pairs | {(b, a) for a, b in pairs}
+    weak = brute_reach(both)
     assert run("wcc") == sorted((n, min(weak[n])) for n in weak)
     folded = {(strong[a], strong[b]) for a, b in pairs if strong[a] != strong[b]}
     longest = lambda n: max((1 + longest(a) for a, b in folded if b == n), default=0)
     assert run("depth_map") == sorted((n, longest(strong[n])) for n in far)
+    size = {i: i % 5 + 1 for i in range(1, 34)}
+    total = {n: (sum(size[m] for m in far[n]), max((size[m] for m in far[n] if m != n), default=0)) for n in far if len(far[n]) > 1}
+    assert [r[:3] for r in run("reachable_sum")] == sorted((n, *x) for n, x in total.items())
+    single = [(a, b) for a, b in pairs if (b, a) not in pairs and b not in brute_reach(both - {(a, b), (b, a)} | {(a, a)})[a]]
+    assert run("bridges") == sorted(single)
 
 
-def test_whole_facts(spark, small):
-    tables = {t: spark.read.parquet(f"{small}/{t}.parquet") for t in ("lineitem", "events", "orders")}
-    pairs = {(f"f{r.l_suppkey % 67}", f"f{r.l_partkey * 3 % 71}") for r in tables["lineitem"].collect()}
-    far = brute_reach(pairs)
-    assert rows(catalogue.QUERIES["dl_circular_deps_whole"](spark, small)) == sorted((a, b) for a in far for b in far[a] if a < b and a in far[b])
-    got = rule_queries.relations(spark, small, {"cfg_edge", "call"}, rule_queries.WHOLE)
-    assert {r.c0 for r in got["cfg_edge"].collect()} == {f"u{r.user_id}" for r in tables["events"].collect()}
-    assert len(got["call"].collect()) == len({(r.o_custkey % 60, r.o_custkey * 7 % 180, r.o_orderkey % 390, r.o_orderkey % 90) for r in tables["orders"].collect()})
-    assert {n for n in catalogue.QUERIES if n.startswith("dl_") and not n.endswith("_whole")} - {"dl_missing_impl"} == {n.removesuffix("_whole") for n in catalogue.QUERIES if n.startswith("dl_") and n.endswith("_whole")}
+def test_reach_from_starts(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    far = brute_reach(set(pairs))
+    starts = spark.createDataFrame([("a",), ("x",)], "src string")
+    assert rows(graph.reach(e, Scratch(spark, "t"), starts)) == [("a", "a", 3), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("x", "y", 1)]
+    assert rows(graph.shortest_paths(e, Scratch(spark, "t"), starts, max_depth=0)) == sorted((s, n, d, ">".join({"b": "ab", "c": "abc", "d": "abcd", "y": "xy"}[n])) for s in "ax" for n, d in far[s].items() if d)
+
+
+def test_rule_facts_are_whole(spark, small):
+    got = rule_queries.relations(spark, small, {"cfg_edge", "call", "symbol"})
+    events, orders = (spark.read.parquet(f"{small}/{t}.parquet").collect() for t in ("events", "orders"))
+    assert {r.c1 for r in got["cfg_edge"].collect()} == {f"g{r.user_id}" for r in events}
+    assert got["call"].count() == len({(r.o_custkey % 12, r.o_custkey % 100 * 7 % 701, r.o_orderkey % 620, r.o_orderkey % 90) for r in orders})
 
 
 @pytest.mark.parametrize(("rule", "limit"), [("fan_out", 50), ("hub_file", 30), ("god_file", 50), ("god_class", 20)])
@@ -179,8 +190,30 @@ def test_thresholds(spark, rule, limit):
         "symbol": spark.createDataFrame([(f, f"s{i}", "method" if rule == "god_class" else "function", i) for f, i in each], "c0 string, c1 string, c2 string, c3 int"),
         "parent": spark.createDataFrame([(f, f"s{i}", "C") for f, i in each], "c0 string, c1 string, c2 string"),
     }
-    used = {n: df for n, df in facts_.items() if f"{n}(" in RULES[rule]}
-    assert [(r[0], r[-1]) for r in rows(engine.evaluate(RULES[rule], used, Scratch(spark, "t"))["found"])] == [("big", limit + 1)]
+    name = {"fan_out": "c", "god_class": "C"}.get(rule)
+    if name:  # findings stand at the symbol that they name
+        facts_["symbol"] = facts_["symbol"].union(spark.createDataFrame([(f, name, "class", 9) for f in sizes], facts_["symbol"].schema))
+    found = rows(diagnostics.run_rule(rule, RULES[rule], facts_, Scratch(spark, "t")))
+    assert [(r[2] or r[4], r[3]) for r in found] == [("big", 9 if name else 0)] and {r[:2] for r in found} == {("warning", rule.replace("_", "-"))}
+
+
+def test_rule_files(spark):
+    text_ = '# ---\n# id = "big-file"\n# severity = "error"\n# tags = ["size"]\n# allow = ["**/gen/**"]\n# enabled = false\n# ---\nfound(f, 0, f) <-- symbol(f, n), if n == "a" || n == "b" && f != "z";'
+    name, rule = diagnostics.read_rule(text_, "x")
+    assert (name, rule.severity, rule.tags, rule.allow, rule.enabled) == ("big-file", "error", ("size",), ("**/gen/**",), False)
+    assert diagnostics.read_rule("# ---\n# id = \n# ---\n", "x") is None
+    symbols = spark.createDataFrame([("src/a", "a"), ("src/gen/b", "a"), ("z", "b"), ("c", "c"), ("d", "b")], "f string, n string")
+    found = diagnostics.run_rule(name, rule, {"symbol": symbols}, Scratch(spark, "t"))
+    assert [(r.severity, r.rule, r.file) for r in found.orderBy("file").collect()] == [("error", "big-file", "d"), ("error", "big-file", "src/a")]
+    lines = spark.createDataFrame([("d", 3, "# allow: big-file"), ("src/a", 11, "# allow: big-file")], "file string, line int, text string")
+    assert [r.file for r in diagnostics.suppressed(found, lines).collect()] == ["src/a"]
+    assert diagnostics.select({name: rule}) == {} and list(diagnostics.select({name: rule}, "big", switch={name: True}, groups={"big": ["size", "big"]})) == [name]
+    assert diagnostics.local(rule) and diagnostics.local(RULES["god_file"]) and not diagnostics.local(RULES["circular_deps"])
+
+
+@pytest.mark.parametrize(("glob", "hits", "misses"), [("**/tests/**", ["tests/a", "x/tests/b/c"], ["test/a"]), ("*.py", ["a.py", "x/b.py"], ["a.pyc"]), ("src/*.rs", ["src/a.rs"], ["src/x/a.rs"]), ("docs/", ["docs/a/b"], ["doc/a"]), ("a.{ts,js}", ["a.ts", "x/a.js"], ["a.tsx"]), ("[!a]b", ["cb"], ["ab"])])
+def test_globs(glob, hits, misses):
+    assert all(re.search(globs.to_regex(glob), h) for h in hits) and not any(re.search(globs.to_regex(glob), m) for m in misses)
 
 
 def test_depth_is_not_cut(spark, monkeypatch):
