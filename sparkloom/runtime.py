@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
+_STAGED: dict[str, list[str]] = {}
 _BATCH_KEY, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4194304b"
+_CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,11 +28,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves that unset (tests, a laptop) is a temporary folder made instead.
+    Only on a local master that leaves it unset (tests, a laptop) is a temporary folder made; elsewhere that is an
+    error, as executors would not see it.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
@@ -35,6 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what this session's queries have staged. Results that weren't written or collected yet can't be read after."""
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, wherever the driver was started from."""
     app = spark.sparkContext.applicationId
@@ -72,12 +91,24 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _STAGED.setdefault(spark.sparkContext.applicationId, []).append(self.path)
+
+    @contextmanager
+    def _tidy(self) -> Iterator[None]:
+        """Shuffle files of a write go when it has ended: what it wrote is read from then on."""
+        before = self.spark.conf.get(_CLEAN_KEY, "false")
+        self.spark.conf.set(_CLEAN_KEY, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_CLEAN_KEY, before)
 
     def stage(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         """Write a table now and read it back."""
         self._n += 1
         path = f"{self.path}/t{self._n}"
-        df.write.option("compression", compression).parquet(path)
+        with self._tidy():
+            df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out
@@ -86,16 +117,18 @@ class Scratch:
         """Write a table bucketed by ``key``: joins and groups on it don't move its rows again."""
         self._n += 1
         name = f"loom_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, key).option("compression", compression).option("path", f"{self.path}/t{self._n}").saveAsTable(name)
-        return self.spark.table(name)
+        with self._tidy():
+            df.write.bucketBy(buckets, key).option("compression", compression).option("path", f"{self.path}/t{self._n}").saveAsTable(name)
+        out = self.spark.table(name)
+        out.schema  # resolved now, with its buckets
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay: it has a path of its own
+        return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a staged table that no later plan reads."""
         path = getattr(df, "_staged_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
