@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from sparkloom.runtime import Scratch, ship
+from sparkloom.runtime import Scratch, give_back, ship
 
 WEIGHTS, SHARE, REPEAT, SHARDS, SEED = (5, 2, 1), 1.5, 2, 16, 7
 BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 256, 256, 400_000_000
@@ -126,9 +126,15 @@ def draw(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     round the sources by code point, a null source last. A null or empty text has size 0 and gives nothing;
     repeated rows each count. Reruns over the same rows give the same pieces.
     """
+    placed, take, schema = _draw(df, key, text, source, carry or [], weights, share, shards, seed)
+    names = [key, *(carry or [])]
+    return placed.mapInArrow(take, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "size", "source_size", "target", "pieces")
+
+
+def _draw(df: DataFrame, key: str, text: str, source: str, carry: list[str], weights: tuple = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> tuple:
+    """Rows at their places in the streams, what draws their pieces from batches of them, and its schema."""
     spark = df.sparkSession
     ship(spark)
-    carry = carry or []
     scratch = Scratch(spark, "mix")
     name = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
     rows = df.select(
@@ -158,7 +164,6 @@ def draw(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     inner = Window.partitionBy("__src", "__b").orderBy("__h", "__key").rowsBetween(Window.unboundedPreceding, 0)
     placed = cut.join(before, ["__src", "__b"]).withColumn("__at", F.sum("__size").over(inner) - F.col("__size") + F.col("__o"))
     kinds = [df.schema[c].dataType for c in (key, *carry)]
-    names = [key, *carry]
     schema = T.StructType([*[T.StructField(f"c{i}", k) for i, k in enumerate(kinds)], T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("pieces", _PIECES)])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +173,7 @@ def draw(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
             pieces = _pieces(plan, names, b.column(1).to_numpy(), b.column(2).to_numpy(), seed)
             yield pa.RecordBatch.from_arrays([*b.columns[3:], b.column(2), pa.array([s.size for s in got], pa.int64()), pa.array([s.target for s in got], pa.float64()), pieces], schema.names)
 
-    out = placed.select("__src", "__at", "__size", "__key", *[f"c{i}" for i in range(len(carry))]).mapInArrow(take, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "size", "source_size", "target", "pieces")
+    return placed.select("__src", "__at", "__size", "__key", *[f"c{i}" for i in range(len(carry))]), take, schema
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
@@ -177,17 +181,16 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
     ``text`` is the block's stretch of the document, with its own white space inside; ``n_chars`` its length.
     """
-    others = [c for c in df.columns if c != key]
-    drawn = draw(df, key, text, source, carry=others).select(*df.columns, "pieces")
-    at, width, word = df.columns.index(text), len(df.columns), re.compile(WORD)
-    chars = df.columns.index(n_chars) if n_chars in df.columns else -1
-    schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)], T.StructField("shard", T.LongType()), T.StructField("local", T.LongType())])
-    names = schema.names
+    columns = [key, *(c for c in df.columns if c != key)]
+    placed, take, drawn = _draw(df, key, text, source, columns[1:])
+    at, word, pieces_at = columns.index(text), re.compile(WORD), drawn.names.index("pieces")
+    chars = columns.index(n_chars) if n_chars in columns else -1
+    schema = T.StructType([*drawn.fields[: len(columns)], T.StructField("shard", T.LongType()), T.StructField("local", T.LongType())])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in take(batches):
             rows, texts, shards_, local = [], [], [], []
-            for i, (t, pieces) in enumerate(zip(b.column(at).to_pylist(), b.column(width).to_pylist())):
+            for i, (t, pieces) in enumerate(zip(b.column(at).to_pylist(), b.column(pieces_at).to_pylist())):
                 spans = [m.span() for m in word.finditer(t)] if pieces else []
                 for p in pieces:
                     rows.append(i)
@@ -195,14 +198,17 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
                     shards_.append(p["shard"])
                     local.append(p["local"])
             index = pa.array(rows, pa.int64())
-            columns = [c.take(index) if j not in (at, chars) else None for j, c in enumerate(b.columns[:-1])]
-            columns[at] = pa.array(texts, b.column(at).type)
+            out = [c.take(index) if j not in (at, chars) else None for j, c in enumerate(b.columns[: len(columns)])]
+            out[at] = pa.array(texts, b.column(at).type)
             if chars >= 0:
-                columns[chars] = pa.array([len(t) for t in texts], b.column(chars).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(shards_, pa.int64()), pa.array(local, pa.int64())], names)
-
-    out = drawn.mapInArrow(stretches, schema).repartition("shard", F.pmod("local", F.lit(64))).sortWithinPartitions("shard", "local")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+                out[chars] = pa.array([len(t) for t in texts], b.column(chars).type)
+            yield pa.RecordBatch.from_arrays([*out, pa.array(shards_, pa.int64()), pa.array(local, pa.int64())], schema.names)
+            del rows, texts, out
+        give_back()
+
+    # One Python worker a task draws and cuts.
+    out = placed.mapInArrow(stretches, schema).repartition("shard", F.pmod("local", F.lit(64))).sortWithinPartitions("shard", "local")
+    return out.select(*[F.col(f"c{columns.index(c)}").alias(c) for c in df.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
