@@ -28,7 +28,7 @@ CHUNK, OVERLAP = 32_768, 512
 #: Characters past a match's end that can still decide about it (contractions, the look-ahead).
 _MARGIN = 4
 #: Encoded pieces that a worker remembers.
-_CACHE = 150_000
+_CACHE = 100_000
 _CODECS: dict[str, Codec] = {}
 
 
@@ -111,9 +111,12 @@ def _both(ranks: Ranks):
 
     def each(it: Iterator) -> Iterator:
         codec = ranks.codec()
-        for s in it:
+        for i, s in enumerate(it):
             ids = [codec.encode(codec.pieces(t)) for t in s]
             yield Frame({"ids": Series(ids, dtype=object), "decoded": Series(list(map(codec.decode, ids)), dtype=object)})
+            del ids, s
+            if i % 8 == 7:
+                give_back()
         give_back()
 
     each.__annotations__ = {"it": Iterator[Series], "return": Iterator[Frame]}
