@@ -13,17 +13,17 @@ from sparkloom.runtime import load
 
 
 @query("""
-WITH t AS (SELECT p_brand AS module, avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END) AS test FROM part WHERE p_type = 'SMALL' GROUP BY 1), d AS (SELECT p_brand AS module, avg(p_size) / 50 AS density FROM part WHERE p_type = 'LARGE' AND p_size < 20 GROUP BY 1),
-u AS (SELECT p_brand AS module, count(DISTINCT p_name) / count(*) AS uniq FROM part WHERE p_size > 45 GROUP BY 1), c AS (SELECT p_brand AS module, min(p_size) / 50 AS ceremony FROM part WHERE p_size > 40 AND p_type = 'ECONOMY' GROUP BY 1),
+WITH t AS (SELECT p_brand AS module, avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END) AS test FROM part GROUP BY 1), d AS (SELECT 'Brand#' || CAST(l_suppkey % 30 AS VARCHAR) AS module, avg(l_quantity) / 50 AS density FROM lineitem GROUP BY 1),
+u AS (SELECT 'Brand#' || CAST(o_custkey % 28 AS VARCHAR) AS module, count(DISTINCT o_orderpriority || o_orderstatus) / count(*) AS uniq FROM orders GROUP BY 1), c AS (SELECT 'Brand#' || CAST(s_nationkey + 8 AS VARCHAR) AS module, avg(s_suppkey % 10) / 10 AS ceremony FROM supplier GROUP BY 1),
 j AS (SELECT module, coalesce(test, 0.0) AS test, coalesce(density, 0.5) AS density, coalesce(uniq, 1.0) AS uniq, coalesce(ceremony, 0.0) AS ceremony FROM t FULL JOIN d USING (module) FULL JOIN u USING (module) FULL JOIN c USING (module))
 SELECT module, round(test, 6) AS test, round(density, 6) AS density, round(uniq, 6) AS uniq, round(ceremony, 6) AS ceremony, round((test + density + uniq + (1 - ceremony)) / 4, 6) AS score FROM j
 """)
 def module_health(spark, d):
-    p, by = load(spark, d, "part"), F.col("p_brand").alias("module")
-    t = p.where("p_type = 'SMALL'").groupBy(by).agg(F.avg(F.when(F.col("p_size") > 25, 1.0).otherwise(0.0)))
-    den = p.where("p_type = 'LARGE' and p_size < 20").groupBy(by).agg(F.avg("p_size") / 50)
-    u = p.where("p_size > 45").groupBy(by).agg(F.countDistinct("p_name") / F.count("*"))
-    c = p.where("p_size > 40 and p_type = 'ECONOMY'").groupBy(by).agg(F.min("p_size") / 50)
+    by = lambda x: F.concat(F.lit("Brand#"), x.cast("string")).alias("module")
+    t = load(spark, d, "part").groupBy(F.col("p_brand").alias("module")).agg(F.avg(F.when(F.col("p_size") > 25, 1.0).otherwise(0.0)))
+    den = load(spark, d, "lineitem").groupBy(by(F.col("l_suppkey") % 30)).agg(F.avg("l_quantity") / 50)
+    u = load(spark, d, "orders").groupBy(by(F.col("o_custkey") % 28)).agg(F.countDistinct(F.concat("o_orderpriority", "o_orderstatus")) / F.count("*"))
+    c = load(spark, d, "supplier").groupBy(by(F.col("s_nationkey") + 8)).agg(F.avg(F.col("s_suppkey") % 10) / 10)
     out = reports.module_health(t, den, u, c)
     return out.select("module", *[F.round(x, 6).alias(x) for x in ("test", "density", "uniq", "ceremony")], "score")
 
@@ -40,15 +40,14 @@ def boundary_violations(spark, d):
 
 
 @query("""
-WITH d AS (SELECT o_custkey AS doc, max(o_orderdate) AS m FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1), c AS (SELECT o_custkey + 1 AS doc, o_orderkey AS path, o_orderdate AS m FROM orders WHERE o_orderkey % 5 = 1)
+WITH d AS (SELECT o_custkey AS doc, min(o_orderdate) AS m FROM orders GROUP BY 1), c AS (SELECT o_custkey + 1 AS doc, o_orderkey AS path, o_orderdate AS m FROM orders)
 SELECT doc, count(*) AS newer FROM c JOIN d USING (doc) WHERE d.m < c.m GROUP BY doc
 """)
 def stale_docs(spark, d):
     o = load(spark, d, "orders")
-    docs = o.where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("doc")).agg(F.max("o_orderdate").alias("mtime"))
-    code = o.where("o_orderkey % 5 = 1").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"))
-    covers = o.where("o_orderkey % 5 = 1").select((F.col("o_custkey") + 1).alias("doc"), F.col("o_orderkey").alias("path"))
-    return reports.stale_docs(docs, code, covers)
+    docs = o.groupBy(F.col("o_custkey").alias("doc")).agg(F.min("o_orderdate").alias("mtime"))
+    code = o.select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"))
+    return reports.stale_docs(docs, code, o.select((F.col("o_custkey") + 1).alias("doc"), F.col("o_orderkey").alias("path")))
 
 
 @query("SELECT p_brand AS file, CAST(sum(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS documented, count(*) AS total, round((sum(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) + 1) / (count(*) + 2), 9) AS key FROM part GROUP BY p_brand")
@@ -79,13 +78,12 @@ def log_replay(spark, d):
 
 
 @query("""
-WITH a AS (SELECT p_name AS name, CAST(max(p_size) AS VARCHAR) AS version FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_name AS name, CAST(max(p_size) AS VARCHAR) AS newest FROM part WHERE p_partkey % 7 = 1 GROUP BY 1)
+WITH a AS (SELECT 'p' || CAST(p_partkey % 90 AS VARCHAR) AS name, CAST(max(p_size) AS VARCHAR) AS version FROM part GROUP BY 1), b AS (SELECT 'p' || CAST(l_suppkey % 80 AS VARCHAR) AS name, CAST(CAST(max(l_quantity) AS BIGINT) AS VARCHAR) AS newest FROM lineitem GROUP BY 1)
 SELECT name, version, newest FROM a LEFT JOIN b USING (name) WHERE version IS DISTINCT FROM newest
 """)
 def outdated(spark, d):
-    p = load(spark, d, "part")
-    version = lambda x: x.groupBy(F.col("p_name").alias("name")).agg(F.max("p_size").cast("string").alias("version"))
-    return reports.outdated(version(p.where("p_partkey % 2 = 0")), version(p.where("p_partkey % 7 = 1")))
+    version = lambda x, key, value: x.groupBy(F.concat(F.lit("p"), key.cast("string")).alias("name")).agg(F.max(value).cast("long").cast("string").alias("version"))
+    return reports.outdated(version(load(spark, d, "part"), F.col("p_partkey") % 90, "p_size"), version(load(spark, d, "lineitem"), F.col("l_suppkey") % 80, "l_quantity"))
 
 
 @query("""

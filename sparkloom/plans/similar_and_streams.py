@@ -30,13 +30,13 @@ def lsh_clusters(spark, d):
 
 
 @query("""
-WITH o AS (SELECT DISTINCT p_brand AS type, p_name AS field FROM part WHERE p_size < 4), f AS (SELECT field, ln(1 + (SELECT count(DISTINCT type) FROM o) / count(*)) AS w FROM o GROUP BY field),
+WITH o AS (SELECT DISTINCT p_brand AS type, p_name AS field FROM part), f AS (SELECT field, ln(1 + (SELECT count(DISTINCT type) FROM o) / count(*)) AS w FROM o GROUP BY field),
 x AS (SELECT type, field, w FROM o JOIN f USING (field)), t AS (SELECT type, sum(w) AS t FROM x GROUP BY type),
 s AS (SELECT p.type AS a, q.type AS b, sum(p.w) AS c FROM x p JOIN x q ON p.field = q.field AND p.type < q.type GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT a, b, CAST(floor(round(100 * c / (p.t + q.t - c), 6)) AS BIGINT) AS score FROM s JOIN t p ON a = p.type JOIN t q ON b = q.type
 """)
 def idf_jaccard_types(spark, d):
-    return similarity.idf_jaccard(load(spark, d, "part").where("p_size < 4").select(F.col("p_brand").alias("type"), F.col("p_name").alias("field")))
+    return similarity.idf_jaccard(load(spark, d, "part").select(F.col("p_brand").alias("type"), F.col("p_name").alias("field")))
 
 
 _LAST = "(SELECT max(ts) FROM events)"
@@ -61,13 +61,13 @@ def stream_upsert(spark, d):
 
 
 @query("""
-WITH b AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 AND user_id % 3 < 2 GROUP BY 1), a AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 1 AND user_id % 4 < 3 GROUP BY 1)
-SELECT user_id, CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'updated' END AS change FROM b FULL JOIN a USING (user_id) WHERE a.n IS DISTINCT FROM b.n
+WITH k AS (SELECT user_id * 100000 + CAST(floor(event_id / 40) AS BIGINT) AS key, event_id FROM events), b AS (SELECT key, count(*) AS n FROM k WHERE event_id % 2 = 0 GROUP BY 1), a AS (SELECT key, count(*) AS n FROM k WHERE event_id % 2 = 1 GROUP BY 1)
+SELECT key, CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'updated' END AS change FROM b FULL JOIN a USING (key) WHERE a.n IS DISTINCT FROM b.n
 """)
 def stream_delta(spark, d):
-    e = load(spark, d, "events")
-    n = lambda x: x.groupBy("user_id").agg(F.count("*").alias("n"))
-    return windows.delta(n(e.where("event_id % 2 = 0 and user_id % 3 < 2")), n(e.where("event_id % 2 = 1 and user_id % 4 < 3")), "user_id", "n")
+    e = load(spark, d, "events").select((F.col("user_id") * 100000 + F.floor(F.col("event_id") / 40)).alias("key"), "event_id")
+    n = lambda x: x.groupBy("key").agg(F.count("*").alias("n"))
+    return windows.delta(n(e.where("event_id % 2 = 0")), n(e.where("event_id % 2 = 1")), "key", "n")
 
 
 @query()
