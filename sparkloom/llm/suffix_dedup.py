@@ -15,10 +15,10 @@ Goal: remove each byte that a string of ``MATCH`` bytes covers which also starts
    entry, whether a smaller key has it, goes back.
 5. Blocks put the marked windows together and cut them out of the documents.
 
-An anchor that more than GROUP strings hold is not merged as a group: its windows are sorted as strings of
-their own, so equal ones are one entry a block and no group of strings has to meet in a task.
-All sizes in a task are bounded by the block size or the number of ranges; a string that a third of the
-documents share is one entry a block.
+An anchor that more than GROUP strings hold is crowded: it isn't merged. Its windows, once a block, find their
+least key by an aggregate that is combined before its shuffle, and the windows join that one row, which Spark may
+split. So a string that a third of the documents share is never gathered in a task; all sizes in a task are
+bounded by the block size, the number of ranges and GROUP.
 """
 
 from __future__ import annotations
@@ -36,15 +36,17 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkloom.runtime import Scratch, give_back, partitions, ship
 
-MATCH, GRAM, BLOCK_BYTES = 50, 24, 1 << 20
+MATCH, GRAM, BLOCK_BYTES = 50, 24, 4 << 20
+#: Bytes whose anchors are found at a time.
+_STRETCH = 1 << 20
 #: Text bytes for each bucket of anchors, and for each range of the merge.
 BUCKET_BYTES, RANGE_BYTES = 24 << 20, 16 << 20
 _LAST = (1 << 63) - 1
 _SPREAD = MATCH - GRAM
-#: Strings that hold one anchor beyond which its windows are sorted one by one.
+#: Strings that hold one anchor beyond which it is crowded.
 GROUP = 4096
-#: A sort key: 0, the bytes from the anchor on, those before it backwards, both lengths; or 1 and a window.
-_WIDTH = 1 + MATCH + _SPREAD + 2
+#: A sort key: the bytes from the anchor on, those before it backwards, both lengths.
+_WIDTH = MATCH + _SPREAD + 2
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 _BLOCK = "block long, extra binary, ords binary, lens binary, text binary, sample binary, bytes long"
@@ -117,13 +119,21 @@ class _Anchors:
 
     def __init__(self, text: np.ndarray, lens: np.ndarray) -> None:
         n = len(text)
-        self.text = text
         self.p1 = self.p2 = self.doc = self.anchor = np.empty(0, np.int64)
         self.gram = self.whole = np.empty(0, np.uint64)
         if n < MATCH:
             return
-        words = np.ndarray((n - 7,), "<u8", text.data, strides=(1,)).copy()
-        m = n - GRAM + 1
+        doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+        found = [self._stretch(text, doc, lo, min(lo + _STRETCH, n - MATCH + 1)) for lo in range(0, n - MATCH + 1, _STRETCH)]
+        self.p1, self.p2, self.anchor, self.gram, self.whole = map(np.concatenate, zip(*found))
+        self.doc = doc[self.p1].astype(np.int64)
+
+    @staticmethod
+    def _stretch(text: np.ndarray, doc: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """The runs of the windows that start from lo to hi - 1; a run ends with its stretch."""
+        part = text[lo : hi + MATCH - 1]
+        words = np.ndarray((len(part) - 7,), "<u8", part.data, strides=(1,)).copy()
+        m = len(part) - GRAM + 1
         h = words[:m] * _C[0]
         h += words[8 : m + 8] * _C[1]
         h += words[16 : m + 16] * _C[2]
@@ -131,32 +141,26 @@ class _Anchors:
         h ^= h >> np.uint64(32)
         h *= _C[3]
         h ^= h >> np.uint64(29)
-        v = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
-        span, least = 1, v
+        least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
+        span = 1
         while span * 2 <= _SPREAD + 1:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         if (more := _SPREAD + 1 - span) > 0:
             least = np.minimum(least[:-more], least[more:])
         anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        ends = np.cumsum(lens)
-        doc = np.repeat(np.arange(len(lens)), lens)
-        ok = doc[: len(anchor)] == doc[MATCH - 1 : MATCH - 1 + len(anchor)]
-        del v, least
-        new = np.empty(len(anchor), bool)
-        new[0] = True
-        new[1:] = (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1]) | (doc[1 : len(anchor)] != doc[: len(anchor) - 1])
+        own = doc[lo:hi]
+        ok = own == doc[lo + MATCH - 1 : hi + MATCH - 1]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1]) | (own[1:] != own[:-1])
         p1 = np.flatnonzero(new)
         p2 = np.append(p1[1:], len(anchor)) - 1
         good = ok[p1]
-        self.p1, self.p2 = p1[good], p2[good]
-        self.doc = doc[self.p1]
-        self.gram = (h[anchor[self.p1]] * _C[1]) >> np.uint64(16)  # anchors are least hashes; this spreads them again
+        p1, p2 = p1[good], p2[good]
+        gram = (h[anchor[p1]] * _C[1]) >> np.uint64(16)  # anchors are least hashes; this spreads them again
         # Four hashed grams cover the string from its first to its last byte.
-        mix = h[self.p1] * _C[0] + h[self.p1 + GRAM] * _C[1] + h[self.p2 + 2] * _C[2] + h[self.p2 + _SPREAD] * _C[4] + (self.p2 - self.p1).astype(np.uint64)
-        self.whole = (mix ^ (mix >> np.uint64(31))) * _C[3]
-        self.anchor = anchor[self.p1]
-        assert not len(ends) or ends[-1] == n
+        mix = h[p1] * _C[0] + h[p1 + GRAM] * _C[1] + h[p2 + 2] * _C[2] + h[p2 + _SPREAD] * _C[4] + (p2 - p1).astype(np.uint64)
+        return p1 + lo, p2 + lo, anchor[p1] + lo, gram, (mix ^ (mix >> np.uint64(31))) * _C[3]
 
     def strings(self, ords: np.ndarray) -> dict[str, np.ndarray]:
         """Distinct strings by anchor: their least key, a run that has it, each run's string (at), each string's anchor (of);
@@ -227,8 +231,8 @@ def _judge_anchors(t: pa.Table) -> pa.Table:
 
 
 def _sorted_keys(keys: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the least key of each, and each row's place among them."""
-    order = np.argsort(keys.view(f"S{_WIDTH}").ravel(), kind="stable")
+    """Distinct keys (whose last byte isn't 0) in order, the least key of each, and each row's place among them."""
+    order = np.argsort(keys.view(f"S{keys.shape[1]}").ravel(), kind="stable")
     keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
@@ -238,12 +242,17 @@ def _sorted_keys(keys: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[first], np.minimum.reduceat(least[order], first) if len(first) else least, entry
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... counts[i] times, for each i."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """A block's sorted, front-coded run by range, and (range -1) where its entries stand in the block."""
+    """A block's sorted, front-coded run by range; (range -1) where its entries stand; (range -2) its crowded windows."""
     names = ["range", "block", "n", "lcps", "tails", "ords", "spots"]
     kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
-    edges = np.array([int.from_bytes((bytes([c]) + s).ljust(8, b"\0")[:8], "big") for c in (0, 1) for s in (b"", *splitters)][1:], np.uint64)
-    forward, back = np.arange(MATCH), np.arange(_SPREAD)
+    edges = np.array([int.from_bytes(s.ljust(8, b"\0")[:8], "big") for s in splitters], np.uint64)
+    columns = np.arange(_WIDTH)
     for row in _rows(batches):
         text, lens, ords = _open(row)
         a = _Anchors(text, lens)
@@ -254,21 +263,21 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> Iterator
             continue
         hot, run, low = flags[shared] == 2, found["run"][shared], found["least"][shared]
         counts = (a.p2 - a.p1 + 1)[run]
-        padded = np.concatenate((np.zeros(_SPREAD, np.uint8), text, np.zeros(_WIDTH, np.uint8)))
+        padded = np.concatenate((np.zeros(_SPREAD, np.uint8), text, np.zeros(MATCH, np.uint8)))
+        ahead, behind = (np.lib.stride_tricks.sliding_window_view(padded, n) for n in (MATCH, _SPREAD))
         # Strings around their anchors.
         r = run[~hot]
         at, right, left = a.anchor[r] + _SPREAD, a.p2[r] + MATCH - a.anchor[r], a.anchor[r] - a.p1[r]
-        keys = np.zeros((len(r), _WIDTH), np.uint8)
-        keys[:, 1 : MATCH + 1] = np.where(forward < right[:, None], padded[at[:, None] + forward], 0)
-        keys[:, MATCH + 1 : -2] = np.where(back < left[:, None], padded[at[:, None] - 1 - back], 0)
+        keys = np.empty((len(r), _WIDTH), np.uint8)
+        keys[:, :MATCH], keys[:, MATCH:-2] = ahead[at], behind[at - _SPREAD][:, ::-1]
+        keys[:, :MATCH][np.arange(MATCH) >= right[:, None]] = 0
+        keys[:, MATCH:-2][np.arange(_SPREAD) >= left[:, None]] = 0
         keys[:, -2], keys[:, -1] = right, left + 1
+        keys, least, entry = _sorted_keys(keys, low[~hot])
         # Each window of the strings on crowded anchors.
-        n = counts[hot]
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        each = np.zeros((len(offset), _WIDTH), np.uint8)
-        each[:, 0] = each[:, -1] = 1
-        each[:, 1 : MATCH + 1] = padded[(np.repeat(a.p1[run[hot]], n) + offset + _SPREAD)[:, None] + forward]
-        keys, least, entry = _sorted_keys(np.concatenate((keys, each)), np.concatenate((low[~hot], np.repeat(low[hot], n))))
+        windows = np.ones((int(counts[hot].sum()), MATCH + 1), np.uint8)
+        windows[:, :MATCH] = ahead[_spread(a.p1[run[hot]], counts[hot]) + _SPREAD]
+        windows, crowd_least, crowd = _sorted_keys(windows, np.repeat(low[hot], counts[hot]))
         lcp = np.zeros(len(keys), np.uint8)
         lcp[1:] = (keys[1:] != keys[:-1]).argmax(axis=1)
         lead = np.ascontiguousarray(keys[:, :8]).view(">u8").ravel().astype(np.uint64)
@@ -277,9 +286,11 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> Iterator
         place[shared] = np.arange(len(shared))
         place = place[found["at"]]
         there = np.flatnonzero(place >= 0)
-        spots = {"at": _pack(a.p1[there].astype("<u4")), "string": _pack(place[there].astype("<u4")), "hot": _pack(hot), "counts": _pack(counts.astype(np.uint8)), "entry": _pack(entry.astype("<u4")), "least": _pack(least.astype("<i8"))}
-        out: list[list] = [[-1], [row["block"]], [len(keys)], [None], [None], [None], [pickle.dumps(spots)]]
-        columns = np.arange(_WIDTH)
+        spots = {"at": a.p1[there].astype("<u4"), "string": place[there].astype("<u4"), "hot": hot, "counts": counts.astype(np.uint8), "entry": entry.astype("<u4"), "least": least.astype("<i8"), "crowd": crowd.astype("<u4"), "crowd_least": crowd_least.astype("<i8")}
+        out: list[list] = [[-1], [row["block"]], [len(keys)], [None], [None], [None], [pickle.dumps({k: _pack(x) for k, x in spots.items()})]]
+        if len(windows):
+            for x, v in zip(out, (-2, row["block"], len(windows), None, _pack(windows[:, :MATCH]), _pack(crowd_least.astype("<i8")), None)):
+                x.append(v)
         for i in np.flatnonzero(np.diff(cut)).tolist():
             s, e = int(cut[i]), int(cut[i + 1])
             k = lcp[s:e].copy()
@@ -289,6 +300,17 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
 
 
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each crowded window of a block: its number there, its bytes, its least key."""
+    for row in _rows(batches):
+        body, least = zstandard.decompress(row["tails"]), _unpack(row["ords"], "<i8")
+        for lo in range(0, len(least), 50_000):
+            n = min(50_000, len(least) - lo)
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * MATCH)
+            own = pa.Array.from_buffers(pa.binary(), n, [None, ends.buffers()[1], pa.py_buffer(body[lo * MATCH : (lo + n) * MATCH])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["block"])), pa.array(np.arange(lo, lo + n, dtype=np.int32)), own, pa.array(least[lo : lo + n])], ["block", "i", "window", "least"])
+
+
 class LoserTree:
     """Merges front-coded sorted runs of byte strings, one width each, by their common prefixes.
 
@@ -388,24 +410,16 @@ def _merge(t: pa.Table) -> pa.Table:
     flat, shared = starts[merged[:, 0]] + merged[:, 1], merged[:, 2]
     keys = np.concatenate([_matrix(k, tails) for k, tails in coded])[flat]
     ords = np.concatenate([_unpack(x.as_py(), "<i8") for x in t["ords"]])[flat]
-    hot = keys[:, 0] == 1
     right, left = keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64) - 1
-    bits = np.zeros((len(keys), _SPREAD + 1), bool)  # by window, in the order of their starts counted from the last back: bytes before the anchor
-    valid = np.zeros_like(bits)
-    if hot.any():
-        at = np.flatnonzero(hot)
-        valid[at, 0] = True
-        bits[at, 0] = _lower(np.cumsum(shared < _WIDTH)[at], ords[at])
-    group = np.cumsum(shared < 1 + GRAM)
-    at = np.flatnonzero(~hot)
-    if len(at):
-        before = np.arange(_SPREAD + 1)
-        valid[at] = (before <= left[at][:, None]) & (MATCH - before <= right[at][:, None])
-        many = np.bincount(group[at])[group[at]] > 1
-        at = at[many]
+    # By window, in the order of their starts counted from the last back, that is by the bytes before the anchor.
+    before = np.arange(_SPREAD + 1)
+    bits = np.zeros((len(keys), _SPREAD + 1), bool)
+    valid = (before <= left[:, None]) & (MATCH - before <= right[:, None])
+    group = np.cumsum(shared < GRAM)
+    at = np.flatnonzero(np.bincount(group)[group] > 1)
     if len(at):
         # Classes of equal bytes before the anchor, from their own sorted order and its shared prefixes.
-        tags = np.concatenate((group[at].astype(">u8").view(np.uint8).reshape(-1, 8), keys[at, MATCH + 1 : -2]), axis=1)
+        tags = np.concatenate((group[at].astype(">u8").view(np.uint8).reshape(-1, 8), keys[at, MATCH:-2]), axis=1)
         tags = np.concatenate((tags, np.ones((len(at), 1), np.uint8)), axis=1)
         order = np.argsort(np.ascontiguousarray(tags).view(f"S{tags.shape[1]}").ravel(), kind="stable")
         tags = tags[order]
@@ -415,7 +429,7 @@ def _merge(t: pa.Table) -> pa.Table:
         for o in range(_SPREAD + 1):
             behind = np.empty(len(at), np.int64)
             behind[order] = np.cumsum(differs < 8 + o)
-            ahead = np.cumsum(shared < 1 + MATCH - o)[at]
+            ahead = np.cumsum(shared < MATCH - o)[at]
             ok = valid[at, o]
             if ok.any():
                 bits[at[ok], o] = _lower(behind[ok] * (len(shared) + 1) + ahead[ok], ords[at[ok]])
@@ -434,31 +448,33 @@ def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.Re
     for row in _rows(batches):
         text, lens, ords = _open(row)
         ends = np.cumsum(lens)
-        covered = np.zeros(len(text) + 1, np.int64)
+        gone = np.zeros(len(text), bool)
         if row["spots"]:
-            x = pickle.loads(row["spots"][0])
-            at, string, counts = _unpack(x["at"], "<u4").astype(np.int64), _unpack(x["string"], "<u4"), _unpack(x["counts"], np.uint8).astype(np.int64)
-            hot, entry, least = _unpack(x["hot"], bool), _unpack(x["entry"], "<u4").astype(np.int64), _unpack(x["least"], "<i8")
-            bits = np.concatenate([np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=b["n"]) for b in sorted(row["bits"], key=lambda b: b["range"])]).astype(bool)
-            # Where the bit of each window of each string stands, and the least key of its entry.
-            plain = int((~hot).sum())
-            width = np.ones(len(least), np.int64)
-            width[entry[:plain]] = counts[~hot]
-            place = np.cumsum(width) - width
-            window = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            x = {k: zstandard.decompress(v) for k, v in pickle.loads(row["spots"][0]).items()}
+            at, string, entry, crowd = (np.frombuffer(x[k], "<u4").astype(np.int64) for k in ("at", "string", "entry", "crowd"))
+            hot, counts = np.frombuffer(x["hot"], bool), np.frombuffer(x["counts"], np.uint8).astype(np.int64)
+            least, crowd_least = np.frombuffer(x["least"], "<i8"), np.frombuffer(x["crowd_least"], "<i8")
+            # For each window of each string: does another block have it under a smaller key, and its least key here.
             is_hot = np.repeat(hot, counts)
-            own_entry = np.empty(len(window), np.int64)
-            own_entry[~is_hot] = np.repeat(entry[:plain], counts[~hot])
-            own_entry[is_hot] = entry[plain:]
-            bit = bits[place[own_entry] + np.where(is_hot, 0, window)]
+            bit, own_least = np.zeros(len(is_hot), bool), np.empty(len(is_hot), np.int64)
+            if len(crowd):
+                beaten = np.zeros(len(crowd_least), bool)
+                beaten[np.array(row["beaten"] or [], np.int64)] = True
+                bit[is_hot], own_least[is_hot] = beaten[crowd], crowd_least[crowd]
+            if len(entry):
+                width = np.ones(len(least), np.int64)
+                width[entry] = counts[~hot]
+                bits = np.concatenate([np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=b["n"]) for b in sorted(row["bits"], key=lambda b: b["range"])]).astype(bool)
+                bit[~is_hot] = bits[_spread((np.cumsum(width) - width)[entry], counts[~hot])]
+                own_least[~is_hot] = np.repeat(least[entry], counts[~hot])
             own = ords[np.searchsorted(ends, at, "right")]
             n = counts[string]
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            which = np.repeat((np.cumsum(counts) - counts)[string], n) + offset
-            hit = bit[which] | (np.repeat(own, n) > least[own_entry[which]])
-            start = (np.repeat(at, n) + offset)[hit]
-            covered += np.bincount(start, minlength=len(text) + 1) - np.bincount(start + MATCH, minlength=len(text) + 1)
-        gone = np.cumsum(covered[:-1]) > 0
+            which = _spread((np.cumsum(counts) - counts)[string], n)
+            hit = bit[which] | (np.repeat(own, n) > own_least[which])
+            start = _spread(at, n)[hit]
+            covered = np.bincount(start, minlength=len(text) + 1)
+            covered[MATCH:] -= np.bincount(start, minlength=len(text) + 1)[:-MATCH]
+            gone = np.cumsum(covered, out=covered)[:-1] > 0
         extra = pa.ipc.open_stream(zstandard.decompress(row["extra"])).read_all().combine_chunks()
         out: list[list] = [[], [], [], [], []]
         for e, n in zip(ends.tolist(), lens.tolist()):
@@ -483,7 +499,7 @@ def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.Re
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row: key, the ``carry`` columns, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
-    A null text counts as empty. Rows of one key don't remove each other's text; null keys count as one key
+    A null text counts as empty. Rows of one key don't remove each other's text; null keys (and keys that are no numbers) count as one key
     that comes last. kept_sha256 is of exactly the remaining bytes; kept_text is the remaining text, where a
     code point that a cut splits stays whole. Texts under MATCH bytes are left as they are.
     """
@@ -491,7 +507,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
     ship(spark)
     scratch = Scratch(spark, "suffix")
     carried = [key, *(carry or [])]
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("__ord"), F.col(text).alias("__text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])
+    rows = df.select(F.coalesce(F.col(key).try_cast("long"), F.lit(_LAST)).alias("__ord"), F.col(text).alias("__text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets, ranges = max(partitions(spark), -(-total // BUCKET_BYTES)), max(partitions(spark), -(-total // RANGE_BYTES))
     made = rows.mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK)
@@ -509,9 +525,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
     merged = runs.where("range >= 0").groupBy("range").applyInArrow(_merge, "range int, block long, bits binary, n int")
     bits = merged.groupBy("block").agg(F.collect_list(F.struct("range", "bits", "n")).alias("bits"))
     spots = runs.where("range = -1").groupBy("block").agg(F.collect_list("spots").alias("spots"))
+    crowd = runs.where("range = -2").select("block", "tails", "ords").mapInArrow(_crowded, "block long, i int, window binary, least long")
+    firsts = crowd.groupBy("window").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("window", "first")
+    beaten = crowd.join(firsts, "window").where("least > first").groupBy("block").agg(F.collect_list("i").alias("beaten"))
+    found = spots.join(bits, "block", "left").join(beaten, "block", "left")
     fields = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept_sha256", pa.string()), pa.field("kept_text", pa.string())]
     schema = T.StructType([*[T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carried)], *[T.StructField(f.name, T.LongType() if pa.types.is_int64(f.type) else T.StringType()) for f in fields]])
-    joined = blocks.select("block", "extra", "ords", "lens", "text").join(spots.join(bits, "block"), "block", "left")
+    joined = blocks.select("block", "extra", "ords", "lens", "text").join(found, "block", "left")
     out = joined.mapInArrow(lambda it: _cut(it, pa.schema(fields)), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], *[f.name for f in fields])
 
