@@ -177,24 +177,28 @@ def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def edits_and_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: key (as a long), n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """For each row: key (as a long; what isn't a number counts as a null key), n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half replaced by the start of the next row's text, ascending key, nulls last,
-    ties by text; after the last row comes the first. A null text counts as empty; a row alone is its own next.
-    Partitions are key ranges, each walked in order; only their first and last rows meet across them.
+    ties by a hash of the text; after the last row comes the first. A null text counts as empty; a row alone is its
+    own next; an empty table gives no rows. Partitions are key ranges, each walked in order; a partition's last row
+    joins the first of the next one, which is found by the partitions' numbers alone.
     """
     spark = df.sparkSession
     ship(spark)
     scratch = Scratch(spark, "ctph")
-    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.col(key).try_cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.asc_nulls_last("key"), F.col("hash")]
     dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("key", "text")
     walked = scratch.stage(dealt.mapInArrow(_walk, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edge int, part int, text string"))
     done = walked.where("edge is null").select("key", *_FIELDS)
     edges = walked.where("edge is not null").select("key", "edge", "part", "text")
-    w = Window.orderBy("part", "edge")  # two rows a partition
-    start = F.first("text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lasts = edges.withColumn("next", F.coalesce(F.lead("text").over(w), start)).where("edge = 1").select("key", "text", "next")
+    parts = edges.where("edge = 0").select("part")
+    follows = parts.select(F.col("part").alias("prior"), F.lead("part").over(Window.orderBy("part")).alias("part"))  # one number a partition
+    follows = follows.select("prior", F.coalesce("part", F.lit(parts.agg(F.min("part")).first()[0]).cast("int")).alias("part"))
+    firsts = edges.where("edge = 0").select("part", F.col("text").alias("next")).join(follows, "part")
+    lasts = edges.where("edge = 1").select("key", "text", F.col("part").alias("prior")).join(firsts, "prior").select("key", "text", "next")
     return done.unionByName(lasts.mapInArrow(_join_edges, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")).withColumnRenamed("key", key)
 
 
