@@ -161,3 +161,20 @@ def changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFr
     gap = F.abs(F.col("a") - F.col("b"))
     kind = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when((gap > F.col("b") * 0.2) & (gap > 2), "changed").otherwise("same")
     return b.join(a, key, "full").select(key, kind.alias("change"))
+
+
+def repo_dependencies(deps: DataFrame, repos: DataFrame) -> DataFrame:
+    """(source_repo, target_repo, package) distinct: dependencies on other repositories, by folder, address or published name.
+
+    ``deps`` is (repo, package, source) and ``repos`` (repo, folder, url, published).
+    """
+    from sparkloom.functions.scalar import git_url
+
+    d = deps.select(F.col("repo").alias("source_repo"), "package", "source").distinct()
+    ways = [
+        (F.substring_index("source", "/", -1), d.where("source like '../%' or source like './%'"), F.col("folder")),
+        (git_url(F.col("source")), d.where("source like '%://%' or source like 'git@%'"), git_url(F.col("url"))),
+        (F.col("source"), d.where("source not like '%/%'"), F.col("published")),
+    ]
+    found = [rows.withColumn("k", own).join(repos.select(F.col("repo").alias("target_repo"), other.alias("k")), "k").select("source_repo", "target_repo", "package") for own, rows, other in ways]
+    return reduce(DataFrame.unionByName, found).where("source_repo <> target_repo").distinct()

@@ -285,3 +285,86 @@ def longest_chain(edges: DataFrame, scratch: Scratch, least: int = 4) -> DataFra
     depth = longest_depth(edges, scratch)
     leaf = nodes(edges).join(edges.select(F.col("src").alias("node")), "node", "left_anti")
     return depth.join(leaf, "node", "left_semi").where(F.col("depth") + 1 >= least).select(F.col("node").alias("end"), (F.col("depth") + 1).alias("n_nodes"))
+
+
+def knots(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(component, size, internal): strong components of two nodes or more with the edges inside them. ``parts`` is (node, component)."""
+    inner = edges.join(parts.toDF("src", "component"), "src").join(parts.toDF("dst", "other"), "dst").where("component = other and src <> dst")
+    size = parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return size.join(inner.groupBy("component").agg(F.count("*").alias("internal")), "component")
+
+
+def simple_paths(edges: DataFrame, scratch: Scratch, starts: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
+    """(start, target, depth, path): every path without a node twice from a start to a target, of ``max_depth`` edges at most, nodes joined by >.
+
+    Each round keeps only paths that can still grow; a path ends at the first target it meets only if that has no way on.
+    """
+    edges = scratch.stage(clean(edges))
+    goal = scratch.stage(targets.toDF("target").distinct())
+    front = scratch.stage(starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path")))
+    found = None
+    for depth in range(1, max_depth + 1):
+        grown = front.join(edges, front["node"] == edges["src"]).where(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        front = scratch.stage(grown)
+        hit = front.join(goal, front["node"] == goal["target"]).select("start", "target", F.lit(depth).alias("depth"), F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"))
+        found = hit if found is None else found.unionByName(hit)
+    return found
+
+
+def simple_cycles(edges: DataFrame, scratch: Scratch, max_length: int) -> DataFrame:
+    """(length, path): every cycle without a node twice, of two to ``max_length`` nodes, from its least node on."""
+    edges = scratch.stage(trim(edges, scratch))
+    front = edges.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
+    found = None
+    for length in range(2, max_length + 1):
+        front = scratch.stage(front)
+        closed = front.join(edges, (front["node"] == edges["src"]) & (front["start"] == edges["dst"])).select(F.lit(length).alias("length"), F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"))
+        found = closed if found is None else found.unionByName(closed)
+        front = front.join(edges, front["node"] == edges["src"]).where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+    return found
+
+
+def ripple(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, fan_out, depth, downstream, score): how far a change goes: edges out times longest way in times nodes that reach it."""
+    d = degrees(edges).select("node", "fan_out")
+    out = d.join(longest_depth(edges, scratch), "node").join(dependents(edges, scratch).withColumnRenamed("dependents", "downstream"), "node", "left").fillna(0, ["downstream"])
+    return out.withColumn("score", F.col("fan_out") * F.col("depth") * F.col("downstream"))
+
+
+def walk(links: DataFrame, scratch: Scratch, starts: DataFrame, kinds: tuple[str, ...] = (), max_depth: int = 0, include_start: bool = False) -> DataFrame:
+    """(start, node, depth) along links (src, dst, kind) of some kinds (any, if none are named); ``max_depth`` 0 is no limit; a start itself at 0 if asked."""
+    e = links.where(F.col("kind").isin(*kinds)) if kinds else links
+    out = reach(clean(e, loops=True), scratch, starts, max_depth).join(starts.toDF("start").distinct(), "start", "left_semi").where("start <> node")
+    own = starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
+    return out.unionByName(own) if include_start else out
+
+
+def layer_summary(edges: DataFrame, depth: DataFrame, layer: DataFrame) -> DataFrame:
+    """(layer, nodes, mean_depth, down, up, level, compliance) for every layer, also those without edges to others."""
+    size = depth.join(layer, "node").groupBy("layer").agg(F.count("*").alias("nodes"), F.round(F.avg("depth"), 6).alias("mean_depth"))
+    return size.join(layering(edges, depth, layer), "layer", "left").fillna({"down": 0, "up": 0, "level": 0, "compliance": 1.0})
+
+
+def report(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row: nodes, edges, density, weak components, strong components, knots, edges in knots, mutual pairs."""
+    from sparkloom.operators.components import connected_components
+
+    e = scratch.stage(clean(edges))
+    parts = scratch.stage(strongly_connected(e, scratch))
+    k = knots(e, parts)
+    pieces = [
+        nodes(e).agg(F.count("*").alias("nodes")), e.agg(F.count("*").alias("edges")), connected_components(e, scratch).agg(F.countDistinct("component").alias("weak")), parts.agg(F.countDistinct("component").alias("strong")),
+        k.agg(F.count("*").alias("knots"), F.coalesce(F.sum("internal"), F.lit(0)).alias("knotted")), mutual(e).agg(F.count("*").alias("mutual")),
+    ]
+    out = pieces[0]
+    for p in pieces[1:]:
+        out = out.join(F.broadcast(p), F.lit(True))  # one row each
+    return out.withColumn("density", F.round(F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0), 9))
+
+
+def typed_edges(kinds: dict[str, DataFrame]) -> DataFrame:
+    """(src, dst, kind) distinct: several edge tables (src, dst) as one graph, ends as strings; rows with a null end go."""
+    from functools import reduce
+
+    parts = [df.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit(k).alias("kind")) for k, df in kinds.items()]
+    return reduce(DataFrame.unionByName, parts).where("src is not null and dst is not null").distinct()
