@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparkloom.operators.components import connected_components
 from sparkloom.runtime import Scratch
 
-#: The signature's prime, slots, bands and shingle width.
-PRIME, SLOTS, BANDS, WORDS = 2147483647, 64, 16, 5
+#: The signature's prime, slots, bands and the words of a shingle.
+PRIME, SLOTS, BANDS, WORDS = 2147483647, 128, 32, 5
 
 
 def words(text: Column) -> Column:
@@ -22,10 +22,6 @@ def shingles(w: str, k: int = WORDS) -> Column:
     return F.when(F.size(w) == 0, F.expr("cast(array() as array<string>)")).otherwise(grams)
 
 
-def _hash(x: Column) -> Column:
-    return F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % PRIME
-
-
 def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, representative, members) of texts that others share; the representative is the least key."""
     d = df.where(F.col(text).isNotNull()).select(key, F.md5(F.lower(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")))).alias("h"))
@@ -33,33 +29,155 @@ def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     return d.join(g, "h").select(key, "representative", "members")
 
 
-def signatures(df: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFrame:
-    """(key, sig): the least of each linear hash over the shingles; an empty text has none.
+def shingle_sets(df: DataFrame, key: str, text: str, k: int = WORDS) -> DataFrame:
+    """(key, s): the distinct hashed shingles of each text; a text without words has no row."""
+    split = df.select(F.col(key).alias("key"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    return split.select("key", F.array_distinct(F.transform(shingles("w", k), lambda x: F.xxhash64(x))).alias("s"))
+
 
-    Hashes are partial minima per text, so no text's shingles have to meet in one row.
+def signatures(sets: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(key, sig): the least of each of ``slots`` linear hashes over a set (key, s), each with a multiplier of its own.
+
+    Minima are combined per text before the shuffle, so no set meets in one row again.
     """
-    split = df.select(F.col(key).alias("key"), words(F.col(text)).alias("w"))
-    each = split.select("key", F.explode(shingles("w")).alias("s")).select("key", _hash(F.col("s")).alias("x"))
-    lows = [F.min((F.col("x") * (2 * i + 1) * 48271 % PRIME + 11 * i + 7) % PRIME).alias(f"m{i}") for i in range(slots)]
+    each = sets.select("key", F.explode("s").alias("x")).select("key", F.pmod("x", F.lit(PRIME)).alias("x"))
+    lows = [F.min((F.col("x") * pow(48271, i + 1, PRIME) + pow(16807, i + 1, PRIME)) % PRIME).alias(f"m{i}") for i in range(slots)]
     return each.groupBy("key").agg(*lows).select("key", F.array(*[f"m{i}" for i in range(slots)]).alias("sig"))
 
 
-def minhash_pairs(df: DataFrame, key: str, text: str, scratch: Scratch, threshold: float = 0.8, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """(a, b, similarity): texts whose signatures share a band and agree in ``threshold`` of their slots or more.
+def candidates(sig: DataFrame, bands: int = BANDS) -> DataFrame:
+    """(a, b) distinct, a < b: keys whose signatures agree in all slots of a band."""
+    rows = F.size("sig") / bands
+    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("sig", (i * rows + 1).cast("int"), rows.cast("int"))).alias("h")))
+    slim = sig.select("key", F.explode(cut).alias("k")).select(F.col("key").alias("a"), "k.band", "k.h")
+    return slim.join(slim.withColumnRenamed("a", "b"), ["band", "h"]).where("a < b").select("a", "b").distinct()
+
+
+def jaccard(a: str, b: str) -> Column:
+    """Shared over all of two sets; 0 if both are empty."""
+    shared = F.size(F.array_intersect(a, b))
+    total = F.size(a) + F.size(b) - shared
+    return F.when(total > 0, shared / total).otherwise(0.0)
+
+
+def estimate(a: str, b: str) -> Column:
+    """Equal slots over all slots of two signatures."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.size(a)
+
+
+def minhash_pairs(df: DataFrame, key: str, text: str, scratch: Scratch, threshold: float = 0.8, slots: int = SLOTS, bands: int = BANDS, k: int = WORDS) -> DataFrame:
+    """(a, b, similarity): texts whose shingle sets have a Jaccard similarity of ``threshold`` or more.
+
+    Signatures only find candidates; the sets decide. Texts of equal sets are one class named by its least key and
+    linked to its members; other pairs are between classes.
+    """
+    sets = scratch.stage(shingle_sets(df, key, text, k).withColumn("c", F.struct(F.xxhash64(F.array_sort("s")).alias("x"), F.xxhash64(F.lit(1), F.array_sort("s")).alias("y"))))
+    classes = scratch.stage(sets.groupBy("c").agg(F.min("key").alias("a"), F.count("*").alias("n")))
+    members = sets.join(classes.where("n > 1"), "c").where("key <> a").select("a", F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+    own = scratch.stage(sets.join(classes.select(F.col("a").alias("key")), "key", "left_semi").select("key", "s"))
+    pairs = scratch.stage(candidates(signatures(own, slots), bands))
+    both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
+    # A pair whose sizes alone rule the threshold out needs no comparison.
+    fits = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb"))
+    return both.where(fits).select("a", "b", F.round(jaccard("sa", "sb"), 9).alias("similarity")).where(F.col("similarity") >= threshold).unionByName(members)
+
+
+def similar_functions(pairs: DataFrame, functions: DataFrame, least_ratio: float = 0.5, same_names: bool = False) -> DataFrame:
+    """(a, b, similarity) of similar but unequal functions: lengths within a ratio, and unless asked not of one name.
+
+    ``functions`` is (key, name, lines).
+    """
+    f = functions.select("key", "name", "lines")
+    both = pairs.where("similarity < 1").join(f.toDF("a", "na", "la"), "a").join(f.toDF("b", "nb", "lb"), "b")
+    kept = both.where(F.least("la", "lb") >= least_ratio * F.greatest("la", "lb"))
+    return (kept if same_names else kept.where("na <> nb")).select("a", "b", "similarity")
+
+
+def cluster_report(pairs: DataFrame, functions: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cluster, members, similarity, lines): components of similar pairs, the mean similarity of their pairs, and lines in all."""
+    parts = scratch.stage(clone_clusters(pairs, scratch))
+    size = parts.join(functions.select(F.col("key").alias("node"), "lines"), "node").groupBy("cluster").agg(F.count("*").alias("members"), F.sum("lines").alias("lines"))
+    mean = pairs.join(parts.select(F.col("node").alias("a"), "cluster"), "a").groupBy("cluster").agg(F.round(F.avg("similarity"), 6).alias("similarity"))
+    return size.join(mean, "cluster")
+
+
+def uniqueness(functions: DataFrame, parts: DataFrame) -> DataFrame:
+    """(module, functions, clustered, uniqueness): one less the share of a module's functions that are in a cluster. ``functions`` is (key, module)."""
+    hit = functions.join(parts.select(F.col("node").alias("key"), F.lit(1).alias("c")), "key", "left")
+    out = hit.groupBy("module").agg(F.count("*").alias("functions"), F.count("c").alias("clustered"))
+    return out.withColumn("uniqueness", F.round(1 - F.col("clustered") / F.col("functions"), 9))
 
-    Equal signatures are one class named by its least key, linked to its members; candidates are pairs of classes.
+
+def without_hot_folders(groups: DataFrame, most: int = 5) -> DataFrame:
+    """Groups of copies (id, a_dir, b_dir) but for those between two folders that ``most`` groups or more lie between."""
+    pair = F.struct(F.least("a_dir", "b_dir").alias("x"), F.greatest("a_dir", "b_dir").alias("y"))
+    hot = groups.groupBy(pair.alias("p")).agg(F.countDistinct("id").alias("n")).where((F.col("n") >= most) & (F.col("p.x") != F.col("p.y"))).select("p")
+    return groups.withColumn("p", pair).join(hot, "p", "left_anti").drop("p")
+
+
+def without_patterns(pairs: DataFrame, files: DataFrame, scratch: Scratch, most_pairs: int = 5, most_files: int = 3) -> DataFrame:
+    """Pairs (a, b, similarity) but for those of a component with ``most_pairs`` pairs or more over ``most_files`` files or more. ``files`` is (key, file)."""
+    parts = scratch.stage(clone_clusters(pairs, scratch))
+    named = pairs.join(parts.select(F.col("node").alias("a"), "cluster"), "a")
+    wide = parts.join(files.select(F.col("key").alias("node"), "file"), "node").groupBy("cluster").agg(F.countDistinct("file").alias("files")).where(F.col("files") >= most_files)
+    many = named.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= most_pairs)
+    return named.join(wide.join(many, "cluster").select("cluster"), "cluster", "left_anti").select("a", "b", "similarity")
+
+
+def outermost(blocks: DataFrame, cell: int = 256) -> DataFrame:
+    """Groups of equal blocks (id, file, start, end) without blocks that a longer one of the file holds; groups of one block left go.
+
+    Blocks and those that may hold them meet by file and cell of lines.
+    """
+    b = blocks.select("id", "file", "start", "end")
+    spans = b.select(F.col("id").alias("id2"), "file", F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell))).alias("cell"))
+    inside = b.withColumn("cell", F.floor(F.col("start") / cell)).join(spans, ["file", "cell"]).where("s2 <= start and e2 >= end and e2 - s2 > end - start").select("id", "file", "start", "end").distinct()
+    left = b.join(inside, ["id", "file", "start", "end"], "left_anti")
+    return left.join(left.groupBy("id").agg(F.count("*").alias("n")).where("n >= 2").select("id"), "id", "left_semi")
+
+
+def without_overlaps(pairs: DataFrame, most: float = 0.5) -> DataFrame:
+    """Pairs of blocks (file_a, sa, ea, file_b, sb, eb, score), the best first, without those that overlap a better one kept by more than ``most`` on both sides.
+
+    Pairs are walked one after the other within their two files.
     """
-    sig = scratch.stage(signatures(df, key, text, slots))
-    classes = sig.groupBy("sig").agg(F.min("key").alias("a"))
-    members = sig.join(classes, "sig").where("key <> a").select("a", F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
-    rows = slots // bands
-    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("sig", i * rows + 1, rows)).alias("h")))
-    banded = classes.select("a", "sig", F.explode(cut).alias("k")).select("a", "sig", "k.band", "k.h")
-    slim = banded.select("a", "band", "h")
-    pairs = slim.join(slim.withColumnRenamed("a", "b"), ["band", "h"]).where("a < b").select("a", "b").distinct()
-    both = pairs.join(classes, "a").join(classes.toDF("sig2", "b"), "b")
-    agree = F.aggregate(F.zip_with("sig", "sig2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / slots
-    return both.select("a", "b", F.round(agree, 9).alias("similarity")).where(F.col("similarity") >= threshold).unionByName(members)
+    import pandas as pd
+
+    def walk(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["score", "sa", "sb"], ascending=[False, True, True], kind="stable")
+        share = lambda s, e, x, y: max(0, min(e, y) - max(s, x) + 1) / (max(e, y) - min(s, x) + 1)
+        kept: list = []
+        for row in t.itertuples(index=False):
+            if not any(share(row.sa, row.ea, k.sa, k.ea) > most and share(row.sb, row.eb, k.sb, k.eb) > most for k in kept):
+                kept.append(row)
+        return pd.DataFrame(kept, columns=t.columns)
+
+    return pairs.groupBy("file_a", "file_b").applyInPandas(walk, pairs.schema)
+
+
+def fragments(lines: DataFrame, size: int, least: int = 2) -> DataFrame:
+    """(h, members, places): windows of ``size`` lines that stand in ``least`` places or more; lines (file, line, text) count trimmed.
+
+    Each line goes to the windows it is in, so a file is never one row.
+    """
+    norm = lines.select("file", "line", F.xxhash64(F.trim("text")).alias("x"))
+    each = norm.select("file", F.explode(F.sequence(F.greatest(F.col("line") - size + 1, F.lit(0)), F.col("line"))).alias("start"), F.struct("line", "x").alias("l"))
+    windows = each.groupBy("file", "start").agg(F.array_sort(F.collect_list("l")).alias("ls")).where(F.size("ls") == size).select("file", "start", F.xxhash64(F.transform("ls", lambda l: l["x"])).alias("h"))
+    out = windows.groupBy("h").agg(F.count("*").alias("members"), F.min(F.concat_ws(":", "file", "start")).alias("first")).where(F.col("members") >= least)
+    return out
+
+
+def restatements(occurrences: DataFrame, *identity: str) -> DataFrame:
+    """(identity, n, locations) of facts stated in several places, by the columns that make them one fact."""
+    out = occurrences.groupBy(*identity).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "file", F.col("line").cast("string")))), ",").alias("locations"))
+    return out.where("n > 1")
+
+
+def relation(a: Column, b: Column) -> Column:
+    """How a type's fields (an array of name:type) relate to another's: equal, subtype (has them all and more), supertype, related (some), unrelated."""
+    both = F.size(F.array_intersect(a, b))
+    na, nb = F.size(F.array_distinct(a)), F.size(F.array_distinct(b))
+    return F.when((both == na) & (both == nb), "equal").when(both == nb, "subtype").when(both == na, "supertype").when(both > 0, "related").otherwise("unrelated")
 
 
 def clone_clusters(pairs: DataFrame, scratch: Scratch) -> DataFrame:
