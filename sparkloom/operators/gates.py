@@ -32,3 +32,10 @@ def budget(changes: DataFrame, key: str, limits: dict[str, float]) -> DataFrame:
     out = out.withColumn("total", F.col("added") + F.col("removed")).withColumn("net", F.col("added") - F.col("removed"))
     over = [F.when(F.col(name.removeprefix("max_")) > most, F.lit(name)) for name, most in sorted(limits.items())]
     return out.withColumn("exceeded", F.concat_ws(",", *over))
+
+
+def file_metrics(symbols: DataFrame) -> DataFrame:
+    """(address, metric, value) of each file: most complex function, functions, classes, lines of symbols."""
+    n = lambda c: F.sum(c.cast("long")).cast("double")
+    wide = symbols.groupBy(F.col("file").alias("address")).agg(F.max("complexity").cast("double").alias("complexity"), n(F.col("kind") != "class").alias("functions"), n(F.col("kind") == "class").alias("classes"), F.sum(F.col("end_line") - F.col("start_line")).cast("double").alias("lines"))
+    return wide.unpivot("address", ["complexity", "functions", "classes", "lines"], "metric", "value")

@@ -111,3 +111,11 @@ def temporal_coupling(active: DataFrame, min_windows: int = 3) -> DataFrame:
     pairs = one.toDF("repo_a", "window").join(one.toDF("repo_b", "window"), "window").where("repo_a < repo_b").groupBy("repo_a", "repo_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_windows)
     out = pairs.join(n.toDF("repo_a", "na"), "repo_a").join(n.toDF("repo_b", "nb"), "repo_b")
     return out.select("repo_a", "repo_b", "shared", F.round(F.col("shared") / F.least("na", "nb"), 9).alias("score"))
+
+
+def neighbours(pairs: DataFrame, k: int) -> DataFrame:
+    """(path, neighbours): the ``k`` items each changes with most, by comma; ties by the least."""
+    both = pairs.select(F.col("a").alias("path"), F.col("b").alias("other"), "shared").unionByName(pairs.select(F.col("b").alias("path"), F.col("a").alias("other"), "shared"))
+    w = Window.partitionBy("path").orderBy(F.desc("shared"), "other")
+    top = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    return top.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x["other"].cast("string")), ",").alias("neighbours"))

@@ -219,3 +219,18 @@ def reindex(rows: DataFrame, key: str, deleted: DataFrame, fresh: DataFrame) ->
     """A fact table after some files changed: rows of the deleted and of the fresh files' keys go, the fresh rows come. ``deleted`` has the key alone."""
     gone = deleted.select(key).union(fresh.select(key)).distinct()
     return rows.join(gone, key, "left_anti").unionByName(fresh)
+
+
+def resolve_target(files: DataFrame, symbols: DataFrame, text: str) -> DataFrame:
+    """(path, what) of a path, or of a symbol in one, named as path::symbol, path#symbol, path:symbol or path/symbol.
+
+    A path is one as it stands, or one that ends in it; ``what`` is file or the symbol's name. A text that can be read
+    in several ways gives what each finds.
+    """
+    found = [files.where((F.col("path") == text) | F.col("path").endswith("/" + text)).select("path", F.lit("file").alias("what"))]
+    for mark in ("::", "#", "/") if "::" in text else ("#", ":", "/"):
+        if mark in text:
+            path, name = text.rsplit(mark, 1)
+            own = symbols.where((F.col("name") == name) & ((F.col("file") == path) | F.col("file").endswith("/" + path)))
+            found.append(own.select(F.col("file").alias("path"), F.col("name").alias("what")))
+    return reduce(DataFrame.unionByName, found).distinct()
