@@ -124,17 +124,27 @@ def enclosing(points: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFram
     return points.join(best, ["file", "line"], "left").select("file", "line", F.col("best.name").alias("name"))
 
 
-def nearest(spine: DataFrame, snapshots: DataFrame, by: str, at: str, time: str, bucket: int) -> DataFrame:
+def nearest(spine: DataFrame, snapshots: DataFrame, by: str, at: str, time: str, cells: int = 4096) -> DataFrame:
     """(by, at, time): for each wanted time the nearest snapshot of its key, the earlier of two as near.
 
-    The last snapshot at or before and the first one after come from one sorted union, without a range join.
+    Wanted times and snapshots meet in cells of time; what lies in other cells comes from one row a cell, so a key's
+    rows never all meet. The last snapshot at or before and the first one after come from one sorted union.
     """
-    both = spine.select(by, F.col(at).alias("x"), F.lit(None).cast("long").alias("s")).unionByName(snapshots.select(by, F.col(time).alias("x"), F.col(time).alias("s")))
-    w = Window.partitionBy(by)
+    ends = snapshots.agg(F.min(time).alias("a"), F.max(time).alias("z")).first()
+    low, width = (ends["a"] or 0), max(1, -(-((ends["z"] or 0) - (ends["a"] or 0) + 1) // max(1, cells)))
+    shots = snapshots.where(F.col(time).isNotNull())
+    both = spine.select(by, F.col(at).alias("x"), F.lit(None).cast("long").alias("s")).unionByName(shots.select(by, F.col(time).alias("x"), F.col(time).alias("s")))
+    both = both.withColumn("cell", F.floor((F.col("x") - low) / width))
+    w = Window.partitionBy(by, "cell")
     before = F.last("s", ignorenulls=True).over(w.orderBy("x").rangeBetween(Window.unboundedPreceding, 0))
     after = F.first("s", ignorenulls=True).over(w.orderBy("x").rangeBetween(1, Window.unboundedFollowing))
-    got = both.withColumn("before", before).withColumn("after", after).where("s is null")
-    pick = F.when(F.col("after").isNull() | (F.col("x") - F.col("before") <= F.col("after") - F.col("x")), F.col("before")).otherwise(F.col("after"))
+    around = Window.partitionBy(by).orderBy("cell")
+    # Cells of each key, wanted times' too, with the nearest snapshots of the cells before and behind.
+    summary = both.groupBy(by, "cell").agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    summary = summary.select(by, "cell", F.last("last", True).over(around.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(around.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    got = both.withColumn("before", before).withColumn("after", after).where("s is null").join(summary, [by, "cell"])
+    last, first = F.coalesce("before", "earlier"), F.coalesce("after", "later")
+    pick = F.when(first.isNull() | (F.col("x") - last <= first - F.col("x")), last).otherwise(first)
     return got.select(by, F.col("x").alias(at), pick.alias(time))
 
 

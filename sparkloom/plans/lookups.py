@@ -200,7 +200,7 @@ SELECT k, a AS "at", t FROM x WHERE r = 1
 def as_of_nearest_snapshot(spark, d):
     o = load(spark, d, "orders").select((F.col("o_custkey") % 50).alias("k"), F.unix_timestamp("o_orderdate").alias("t"))
     spine = o.select("k").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("k", (F.lit(727000000) + F.col("i").cast("long") * 20000000).alias("at"))
-    return facts.nearest(spine, o, "k", "at", "t", 0)
+    return facts.nearest(spine, o, "k", "at", "t")
 
 
 @query("""

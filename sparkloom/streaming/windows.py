@@ -62,6 +62,8 @@ def upsert(stream: DataFrame, key: str, order: str, name: str) -> DataFrame:
         rows = batch if not tables else tables[-1].unionByName(batch)
         latest = rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(order)).alias("r")).select("r.*")
         tables.append(scratch.stage(latest))
+        if len(tables) > 2:  # a batch that runs again reads the table before
+            scratch.drop(tables.pop(0))
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{scratch.path}/state").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -96,7 +96,12 @@ def test_runs_and_nearest(spark):
     e = spark.createDataFrame([(1, i, t) for i, t in enumerate("aaab")], "session int, pos int, tool string")
     assert rows(sessions.runs(e)) == [(1, "a", 0, 3)]
     spine, shots = spark.createDataFrame([("k", 5), ("k", 9)], "k string, at long"), spark.createDataFrame([("k", 3), ("k", 7)], "k string, t long")
-    assert rows(facts.nearest(spine, shots, "k", "at", "t", 0)) == [("k", 5, 3), ("k", 9, 7)]
+    assert rows(facts.nearest(spine, shots, "k", "at", "t")) == [("k", 5, 3), ("k", 9, 7)]
+    rng = random.Random(2)
+    wanted, at = [(rng.choice("ab"), rng.randint(-50, 1050)) for _ in range(60)], sorted({(rng.choice("ab"), rng.randint(0, 1000)) for _ in range(25)})
+    got = facts.nearest(spark.createDataFrame(wanted, "k string, at long"), spark.createDataFrame(at, "k string, t long"), "k", "at", "t", cells=7)
+    near = lambda k, x: min((t for c, t in at if c == k), key=lambda t: (abs(t - x), t))
+    assert rows(got) == sorted((k, x, near(k, x)) for k, x in wanted)
 
 
 def _norm(value):
