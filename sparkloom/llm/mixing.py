@@ -3,7 +3,8 @@
 A source's documents, in keyed order, form one stream of words that is cut into blocks. Exact block quotas
 come from the target weights; a binary tree over the output shards splits each node's quotas among its two
 halves by a multivariate hypergeometric draw, so every shard knows how many blocks of each source it gets.
-A keyed permutation orders a source's blocks; shards take disjoint intervals of that order (a second pass
+Sources are split in groups of bounded size: the tree splits the groups' totals, and each group then splits its share
+among its own sources, which is the same draw. A keyed permutation orders a source's blocks; shards take disjoint intervals of that order (a second pass
 over the source has a permutation of its own) and shuffle what they hold by a local key. A row meets only the
 rows of its own bucket of the stream, by a hash of key and text, however much of the rows a source holds.
 """
@@ -18,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from sparkloom.runtime import Scratch, give_back, ship
+from sparkloom.runtime import Scratch, give_back, partitions, ship
 
 WEIGHTS, SHARE, REPEAT, SHARDS, SEED = (5, 2, 1), 1.5, 2, 16, 7
 BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 256, 256, 400_000_000
-#: One row a source goes to the driver; beyond this many it is an error, not a cut.
-MOST_SOURCES = 1_000_000
+#: Sources that one task splits; the driver sees one number a group and shard.
+GROUP_SOURCES = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 _PIECES = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("shard", "local", "start", "end")]))
 
@@ -43,14 +44,15 @@ def targets(sizes: list[int], weights: list[float], total: float, repeat: float
     return out
 
 
-def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Blocks of each source for each shard, (shards, sources), by recursive halving."""
+def split(quotas: np.ndarray, shards: int, rng: np.random.Generator, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Blocks of each source for each shard, (shards, sources), by recursive halving; ``sizes`` says how many each shard has in all, else they are even."""
     if shards == 1:
         return quotas[None, :]
     left = shards // 2
-    n = int(quotas.sum()) * left // shards
+    n = int(quotas.sum()) * left // shards if sizes is None else int(sizes[:left].sum())
     mine = rng.multivariate_hypergeometric(quotas, n, method="marginals") if n else np.zeros_like(quotas)
-    return np.concatenate((split(mine, left, rng), split(quotas - mine, shards - left, rng)))
+    near, far = (None, None) if sizes is None else (sizes[:left], sizes[left:])
+    return np.concatenate((split(mine, left, rng, near), split(quotas - mine, shards - left, rng, far)))
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -79,11 +81,11 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 class _Source:
-    def __init__(self, index: int, size: int, target: float, block: int) -> None:
-        self.index, self.size, self.target, self.block = index, size, target, block
+    """A source's stream: its words, its blocks, how many of them the mix takes, and where each shard's interval ends."""
+
+    def __init__(self, index: int, size: int, block: int, quota: int, ends: list[int]) -> None:
+        self.index, self.block, self.quota, self.ends = index, block, quota, ends
         self.blocks = -(-size // block)
-        self.quota = REPEAT * self.blocks if target >= REPEAT * size else min(REPEAT * self.blocks, round(target / block))
-        self.ends: list[int] = []
 
     def pieces(self, offsets: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
         """What the mix takes of the words [offset, offset + size) of the stream, for each document of an array:
@@ -104,21 +106,61 @@ class _Source:
         return tuple(map(np.concatenate, zip(*out))) if out else tuple(np.empty((5, 0), np.int64))
 
 
-def _pieces(plan: dict[str, _Source], names: list[str], offsets: np.ndarray, sizes: np.ndarray, seed: int) -> pa.ListArray:
+def _pieces(plan: dict[int, _Source], owners: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, seed: int) -> pa.ListArray:
     """The pieces of each document of a batch, source by source."""
-    codes, owner = np.unique(np.array(names, object), return_inverse=True)
+    codes, owner = np.unique(owners, return_inverse=True)
     parts = []
-    for k, name in enumerate(codes):
+    for k, name in enumerate(codes.tolist()):
         rows = np.flatnonzero(owner == k)
         row, *rest = plan[name].pieces(offsets[rows], sizes[rows], seed)
         parts.append((rows[row], *rest))
     row, *columns = map(np.concatenate, zip(*parts)) if parts else np.empty((5, 0), np.int64)
     order = np.argsort(row, kind="stable")
-    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(names)))))
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(owners)))))
     inner = pa.StructArray.from_arrays([pa.array(c[order], pa.int64()) for c in columns], ["shard", "local", "start", "end"])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
 
 
+def _plan(rows: DataFrame, scratch: Scratch, weights: tuple, share: float, shards: int, seed: int) -> tuple[DataFrame, int]:
+    """(__src, index, size, target, block, quota, ends) for each source of rows (__src, __size), and the number of rows."""
+    order = [(F.col("__src") == "n").asc(), F.col("__src").asc()]
+    stats = rows.groupBy("__src").agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
+    # Their places in order: ranges of sources are numbered on their own, after the counts of those before.
+    dealt = scratch.stage(stats.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("size").alias("size")).orderBy("part").collect()  # one row a partition
+    rowcount, total = sum(r["n"] for r in counts), share * sum(r["size"] for r in counts)
+    offsets = rows.sparkSession.createDataFrame([(r["part"], o) for r, o in zip(counts, accumulate([0, *(r["k"] for r in counts)]))], "part int, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("before")
+    weight = F.array(*[F.lit(w) for w in weights])
+    named = scratch.stage(dealt.join(F.broadcast(offsets), "part").select("__src", "size", place.cast("long").alias("index")).withColumn("weight", weight[(F.col("index") % len(weights)).cast("int")]))
+    # The share of one unit of weight, once those that would go beyond REPEAT times their size are held there.
+    each, held = None, F.lit(False)
+    while rowcount:
+        fixed, free = named.agg(F.coalesce(F.sum(F.when(held, F.col("size") * REPEAT)), F.lit(0)), F.coalesce(F.sum(F.when(~held, F.col("weight"))), F.lit(0))).first()
+        now = float((total - fixed) / free) if free else each
+        if now == each:
+            break
+        each, held = now, held | (F.lit(now) * F.col("weight") > REPEAT * F.col("size"))
+    goal = F.when(held, (F.col("size") * REPEAT).cast("double")).otherwise(F.lit(each) * F.col("weight"))
+    cap = max(BLOCK_WORDS, -(-int(total) // MOST_BLOCKS))
+    blocks = F.ceil(F.col("size") / F.col("block"))
+    quota = F.when(F.col("target") >= REPEAT * F.col("size"), REPEAT * blocks).otherwise(F.least(REPEAT * blocks, F.bround(F.col("target") / F.col("block"))))
+    named = named.withColumn("target", goal.cast("double")).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(cap), F.floor(F.col("size") / LEAST_BLOCKS))))
+    named = scratch.stage(named.withColumn("quota", quota.cast("long")).withColumn("group", F.floor(F.col("index") / GROUP_SOURCES)).drop("weight"))
+    totals = {r["group"]: r["q"] for r in named.groupBy("group").agg(F.sum("quota").alias("q")).collect()}  # one number a group of sources
+    table = split(np.array([totals[g] for g in sorted(totals)], np.int64), shards, np.random.default_rng(seed)) if totals else np.zeros((shards, 0), np.int64)
+    shares = rows.sparkSession.sparkContext.broadcast(dict(zip(sorted(totals), table.T)))
+
+    def groups(t: pa.Table) -> pa.Table:
+        t = t.sort_by("index")
+        group = t["group"][0].as_py()
+        own = split(t["quota"].to_numpy().astype(np.int64), shards, np.random.default_rng([seed, group]), shares.value[group])
+        return t.append_column("ends", pa.array(np.cumsum(own, axis=0).T.tolist(), pa.list_(pa.int64())))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
+    return scratch.stage(named.groupBy("group").applyInArrow(groups, f"{kinds}, ends array<bigint>").drop("group")), rowcount
+
+
 def draw(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None, weights: tuple = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(key, ``carry`` columns, size, source_size, target, pieces) for each row.
 
@@ -143,24 +185,12 @@ def _draw(df: DataFrame, key: str, text: str, source: str, carry: list[str], wei
     )
     if not carry:
         rows = scratch.stage(rows)
-    stats = rows.groupBy("__src").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(stats) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    stats.sort(key=lambda r: (r["__src"] == "n", r["__src"]))
-    sizes = [r["size"] for r in stats]
-    total = share * sum(sizes)
-    cap = max(BLOCK_WORDS, -(-int(total) // MOST_BLOCKS))
-    goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], total)
-    plan = {r["__src"]: _Source(i, n, t, max(1, min(cap, n // LEAST_BLOCKS))) for i, (r, n, t) in enumerate(zip(stats, sizes, goals))}
-    if plan:
-        table = split(np.array([s.quota for s in plan.values()], np.int64), shards, np.random.default_rng(seed))
-        for s, column in zip(plan.values(), table.T.tolist()):
-            s.ends = list(accumulate(column))
-    rowcount = sum(r["n"] for r in stats)
+    sources, rowcount = _plan(rows.select("__src", "__size"), scratch, weights, share, shards, seed)
     buckets = max(1, -(-rowcount // max(512, -(-rowcount // 65_536))))
     cut = rows.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
     w = Window.partitionBy("__src").orderBy("__b")
     before = cut.groupBy("__src", "__b").agg(F.sum("__size").alias("__n")).withColumn("__o", F.sum("__n").over(w) - F.col("__n")).drop("__n")
+    before = before.join(sources.withColumnRenamed("size", "total"), "__src")
     inner = Window.partitionBy("__src", "__b").orderBy("__h", "__key").rowsBetween(Window.unboundedPreceding, 0)
     placed = cut.join(before, ["__src", "__b"]).withColumn("__at", F.sum("__size").over(inner) - F.col("__size") + F.col("__o"))
     kinds = [df.schema[c].dataType for c in (key, *carry)]
@@ -168,12 +198,12 @@ def _draw(df: DataFrame, key: str, text: str, source: str, carry: list[str], wei
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.column(0).to_pylist()
-            got = [plan[s] for s in names]
-            pieces = _pieces(plan, names, b.column(1).to_numpy(), b.column(2).to_numpy(), seed)
-            yield pa.RecordBatch.from_arrays([*b.columns[3:], b.column(2), pa.array([s.size for s in got], pa.int64()), pa.array([s.target for s in got], pa.float64()), pieces], schema.names)
+            at, size, owner, total, target, block, quota, ends = b.columns[:8]
+            owners, sizes = owner.to_numpy(), size.to_numpy()
+            plan = {int(k): _Source(int(k), total[i].as_py(), block[i].as_py(), quota[i].as_py(), ends[i].as_py()) for k, i in zip(*(x.tolist() for x in np.unique(owners, return_index=True)))}
+            yield pa.RecordBatch.from_arrays([*b.columns[8:], size, total, target, _pieces(plan, owners, at.to_numpy(), sizes, seed)], schema.names)
 
-    return placed.select("__src", "__at", "__size", "__key", *[f"c{i}" for i in range(len(carry))]), take, schema
+    return placed.select("__at", "__size", F.col("index"), F.col("total"), F.col("target"), F.col("block"), F.col("quota"), F.col("ends"), "__key", *[f"c{i}" for i in range(len(carry))]), take, schema
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:

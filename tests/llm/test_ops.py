@@ -159,6 +159,28 @@ def test_mixing(docs, empty):
     assert sum(len(r.text.split()) for r in mixed.collect()) == sum(p["end"] - p["start"] for r in got for p in r.pieces)
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    """Sources in several groups: exact quotas, even shards, the same targets as from one list."""
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(rng.integers(0, 60)), f"s{i % 17:02d}" if i % 18 else None) for i in range(400)]
+    got = mixing.draw(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=["source"], shards=5).collect()
+    names = sorted({s for *_, s in rows if s}) + [None]
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == n) for n in names]
+    want = dict(zip(names, mixing.targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(sizes))))
+    assert all(r.target == pytest.approx(want[r.source]) for r in got)
+    for n, size in zip(names, sizes):
+        taken = sum(p["end"] - p["start"] for r in got if r.source == n for p in r.pieces)
+        assert abs(taken - want[n]) <= max(1, size // mixing.LEAST_BLOCKS) + 1
+    per = np.bincount([shard for shard, _, _ in {(p["shard"], r.source, p["local"]) for r in got for p in r.pieces}], minlength=5)  # blocks; one may lie across documents
+    assert len(per) == 5 and per.max() - per.min() <= 3
+    by: dict[tuple, set] = {}
+    for r in got:
+        for p in r.pieces:
+            by.setdefault((r.doc_id, p["start"]), set()).add(p["local"])
+    assert all(len(v) <= 2 for v in by.values())
+
+
 def test_mixing_parts():
     assert mixing.targets([100, 100, 100], [5, 2, 1], 450) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     table = mixing.split(np.array([10, 0, 7]), 4, np.random.default_rng(0))
