@@ -161,11 +161,19 @@ def stream_delta(spark, d):
     return windows.delta(n(e.where("event_id % 2 = 0")), n(e.where("event_id % 2 = 1")), "key", "n")
 
 
-@query()
+@query(f"""
+WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL '30 minutes')) AS BIGINT) AS "end", count(*) AS n FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL '30 minutes' <= {_LAST} - INTERVAL '10 minutes'
+""")
 def stream_session(spark, d):
-    return windows.drain(windows.bursts(windows.source(spark, d), "30 minutes", "10 minutes"), "bursts")
+    out = windows.drain(windows.bursts(windows.source(spark, d), "30 minutes", "10 minutes"), "bursts")
+    return out.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n")
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT user_id, time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' AS s FROM events, range(0, 4) r(k))
+SELECT epoch(s)::BIGINT AS start, user_id, count(*) AS n FROM w GROUP BY 1, 2, s HAVING count(*) >= 2 AND s + INTERVAL '1 hour' <= {_LAST} - INTERVAL '10 minutes'
+""")
 def stream_spin_detect(spark, d):
-    return windows.drain(windows.spin(windows.source(spark, d), "1 hour", "15 minutes", 2, "10 minutes"), "spin")
+    out = windows.drain(windows.spin(windows.source(spark, d), "1 hour", "15 minutes", 2, "10 minutes"), "spin")
+    return out.select(F.unix_timestamp("start").alias("start"), "user_id", "n")
