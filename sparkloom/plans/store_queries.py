@@ -291,7 +291,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM
 def cochange_neighbours(spark, d):
     from sparkloom.plans.registry import touches
 
-    return history.neighbours(history.cochange_pairs(touches(spark, d)), 5)
+    return history.neighbours(history.cochange_pairs(touches(spark, d), min_count=1), 5)
 
 
 @query("WITH s AS (SELECT p_partkey AS id, p_size AS score, p_brand AS file, p_partkey % 90 AS line FROM part) SELECT id, score, file, line FROM s ORDER BY file, line, id LIMIT 60")
