@@ -4,8 +4,10 @@ Every participant of a dialogue gets it rendered with their own turns as the ass
 turns of named users; the mask marks what the assistant says, the only text a model trained on it should learn.
 Turns of the system role open no perspective and stay as they are.
 
-A rendering is cut into parts of PART_TURNS turn numbers, each a row with its own mask, so that no dialogue has to
-meet in one task however long it is; the parts of a perspective, in order, concatenate to the whole rendering.
+A rendering is cut into parts of PART_TURNS turn numbers, each a row with its own mask, so that a dialogue of many
+turn numbers never meets in one task (turns of one number, null ones included, stay together); the parts of a
+perspective, in order, concatenate to the whole rendering. Turn markers inside a text or a name are broken by a
+blank, so no text can open or close a turn.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ SYSTEM = "system"
 _START, _END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _safe(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("<|im_start|>"), F.lit("<| im_start|>")), F.lit("<|im_end|>"), F.lit("<| im_end|>"))
+
+
 def _head(role: Column, speaker: Column) -> Column:
     named = F.concat(F.lit("user name="), speaker)
     return F.concat(F.lit(_START), F.when(role == "assistant", "assistant").when(role == "system", "system").otherwise(named), F.lit("\n"))
@@ -30,7 +36,7 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: st
     null speaker is called ``unknown`` and takes part like others; a null turn number comes first. Equal turn
     numbers are ordered by speaker and text, repeated rows are repeated turns, and rows without a dialogue id form one.
     """
-    rows = df.select(F.col(conv).alias("c"), F.coalesce(F.col(turn).cast("long"), F.lit(-1)).alias("t"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("s"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    rows = df.select(F.col(conv).alias("c"), F.coalesce(F.col(turn).cast("long"), F.lit(-1)).alias("t"), _safe(F.coalesce(F.col(speaker), F.lit("unknown"))).alias("s"), _safe(F.coalesce(F.col(text), F.lit(""))).alias("x"))
     rows = rows.withColumn("part", F.floor(F.col("t") / part_turns).cast("long"))
     people = rows.where(F.col("s") != SYSTEM).select(F.col("c").alias("pc"), F.col("s").alias("perspective")).distinct()
     # One row a part of a dialogue; every perspective renders it on its own.
@@ -63,7 +69,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH r AS (SELECT conv_id c, coalesce(turn, -1) t, coalesce(role, 'unknown') s, coalesce(text, '') x, CAST(floor(coalesce(turn, -1) / 512) AS BIGINT) part FROM conversations),
+WITH r AS (SELECT conv_id c, coalesce(turn, -1) t, replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') s, replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') x, CAST(floor(coalesce(turn, -1) / 512) AS BIGINT) part FROM conversations),
 people AS (SELECT DISTINCT c, s AS perspective FROM r WHERE s <> 'system'),
 v AS (SELECT r.*, perspective, s = perspective own,
         '<|im_start|>' || CASE WHEN s = perspective THEN 'assistant' WHEN s = 'system' THEN 'system' ELSE 'user name=' || s END || chr(10) AS head

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from sparkloom.runtime import Scratch, give_back, partitions, ship
+from sparkloom.runtime import Scratch, give_back, ship
 
 WEIGHTS, SHARE, REPEAT, SHARDS, SEED = (5, 2, 1), 1.5, 2, 16, 7
 BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 256, 256, 400_000_000
@@ -126,13 +126,13 @@ def _plan(rows: DataFrame, scratch: Scratch, weights: tuple, share: float, shard
     order = [(F.col("__src") == "n").asc(), F.col("__src").asc()]
     stats = rows.groupBy("__src").agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
     # Their places in order: ranges of sources are numbered on their own, after the counts of those before.
-    dealt = scratch.stage(stats.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    dealt = scratch.stage(stats.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     counts = dealt.groupBy("part").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("size").alias("size")).orderBy("part").collect()  # one row a partition
     rowcount, total = sum(r["n"] for r in counts), share * sum(r["size"] for r in counts)
     offsets = rows.sparkSession.createDataFrame([(r["part"], o) for r, o in zip(counts, accumulate([0, *(r["k"] for r in counts)]))], "part int, before long")
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("before")
     weight = F.array(*[F.lit(w) for w in weights])
-    named = scratch.stage(dealt.join(F.broadcast(offsets), "part").select("__src", "size", place.cast("long").alias("index")).withColumn("weight", weight[(F.col("index") % len(weights)).cast("int")]))
+    named = dealt.join(F.broadcast(offsets), "part").select("__src", "size", place.cast("long").alias("index")).withColumn("weight", weight[(F.col("index") % len(weights)).cast("int")])
     # The share of one unit of weight, once those that would go beyond REPEAT times their size are held there.
     each, held = None, F.lit(False)
     while rowcount:
@@ -146,7 +146,7 @@ def _plan(rows: DataFrame, scratch: Scratch, weights: tuple, share: float, shard
     blocks = F.ceil(F.col("size") / F.col("block"))
     quota = F.when(F.col("target") >= REPEAT * F.col("size"), REPEAT * blocks).otherwise(F.least(REPEAT * blocks, F.bround(F.col("target") / F.col("block"))))
     named = named.withColumn("target", goal.cast("double")).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(cap), F.floor(F.col("size") / LEAST_BLOCKS))))
-    named = scratch.stage(named.withColumn("quota", quota.cast("long")).withColumn("group", F.floor(F.col("index") / GROUP_SOURCES)).drop("weight"))
+    named = named.withColumn("quota", quota.cast("long")).withColumn("group", F.floor(F.col("index") / GROUP_SOURCES)).drop("weight")
     totals = {r["group"]: r["q"] for r in named.groupBy("group").agg(F.sum("quota").alias("q")).collect()}  # one number a group of sources
     table = split(np.array([totals[g] for g in sorted(totals)], np.int64), shards, np.random.default_rng(seed)) if totals else np.zeros((shards, 0), np.int64)
     shares = rows.sparkSession.sparkContext.broadcast(dict(zip(sorted(totals), table.T)))
@@ -158,7 +158,7 @@ def _plan(rows: DataFrame, scratch: Scratch, weights: tuple, share: float, shard
         return t.append_column("ends", pa.array(np.cumsum(own, axis=0).T.tolist(), pa.list_(pa.int64())))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
-    return scratch.stage(named.groupBy("group").applyInArrow(groups, f"{kinds}, ends array<bigint>").drop("group")), rowcount
+    return named.groupBy("group").applyInArrow(groups, f"{kinds}, ends array<bigint>").drop("group"), rowcount
 
 
 def draw(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None, weights: tuple = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -43,3 +43,33 @@ def test_stages(spark, tmp_path):
     final = kept[4].collect()
     assert sorted(r.decoded_sha256 for r in final) == sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in kept[3].collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(final)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, a clashing column; and empty tables."""
+    rng = np.random.default_rng(7)
+    line = lambda: " ".join("".join(rng.choice(list("aeimnorst"), 5)) for _ in range(40))
+    a, b = line(), line()
+    rows = [(None, a), (None, b), (7, line()), (7, line()), (8, None), (9, ""), (10, a), (10, a), (11, line() + " idiot"), (12, line() + " idiot"), (None, None), (13, "x" * 40_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, shard long"
+    docs = spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 4 else "s", None, "clash", 1) for k, (i, t) in enumerate(rows)], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    learned = spark.createDataFrame([(100 + i, line() + (" idiot" if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    labels = [(i, None, None) for i, _ in rows] + [(100 + i, 1, i % 2) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs.unionByName(learned, allowMissingColumns=True)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(out := str(tmp_path / str(k)))
+        now = spark.read.parquet(out)
+        if k == 1:
+            kept = {(r.doc_id, r.text) for r in now.collect()}
+            texts = {t for i, t in rows if t and "idiot" not in t} | {r.text for r in learned.collect() if "idiot" not in r.text}
+            assert {t for _, t in kept if t} == texts and now.count() == len(texts) + 1  # one for all without words
+            assert (10, a) in kept and (None, b) in kept
+        if k == 3:
+            assert now.columns == corpus_pipeline.COLUMNS
+    assert now.count() > 0
+    for t in ("documents", "labels"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).where("false").write.parquet(str(tmp_path / "none" / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
