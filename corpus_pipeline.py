@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns the columns of
 documents (the last one: token ids). Each is written as Parquet and read again before the next.
+
+In every stage a null text counts as empty, null and repeated doc_ids are rows like others, lang and source may be
+null, columns beside those of documents are left out, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,25 +20,25 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores under its threshold; a null text is not toxic."""
+    """Documents that the classifier scores under its threshold; a null text is not toxic. Repeated rows stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs.select(*COLUMNS), model, out="__score")
     return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least doc_id."""
+    """One document of each group of near copies, that of the least doc_id (null last); unlike texts under one doc_id, or under none, all stay."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document of a smaller doc_id has; one that nothing is left of keeps an empty text."""
+    """Documents without the passages that a document of a smaller doc_id has; one that nothing is left of keeps an empty text, a null text becomes one."""
     kept = suffix_dedup.remove_repeats(docs, carry=["lang", "source"])
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: a row for each stretch of a document that the mix takes, repeats included."""
+    """The mixed corpus: a row for each stretch of a document that the mix takes, repeats included; a document without words gives none. A null source is one source."""
     return mixing.mix(docs.select(*COLUMNS))
 
 
