@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkloom.operators.components import connected_components
-from sparkloom.runtime import Scratch
+from sparkloom.runtime import Scratch, ship
 
 #: The signature's prime, slots, bands and the words of a shingle.
 PRIME, SLOTS, BANDS, WORDS = 2147483647, 128, 32, 5
@@ -16,12 +17,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \t\n\r]+"), lambda x: x != "")
 
 
-def shingles(w: str, k: int = WORDS) -> Column:
-    """Shingles of ``k`` words of a column of words, which must not be computed anew for each; fewer words are one shingle."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) == 0, F.expr("cast(array() as array<string>)")).otherwise(grams)
-
-
 def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, representative, members) of texts that others share; the representative is the least key."""
     d = df.where(F.col(text).isNotNull()).select(key, F.md5(F.lower(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")))).alias("h"))
@@ -30,19 +25,34 @@ def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, k: int = WORDS) -> DataFrame:
-    """(key, s): the distinct hashed shingles of each text; a text without words has no row."""
-    split = df.select(F.col(key).alias("key"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    return split.select("key", F.array_distinct(F.transform(shingles("w", k), lambda x: F.xxhash64(x))).alias("s"))
+    """(key, s): the distinct hashed shingles of each text, in order; a text without words has no row."""
+    hashed = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+    split = df.select(F.col(key).alias("key"), hashed.alias("w")).where(F.size("w") > 0)
+    # A shingle is the hash of its words' hashes, so no text of it is made.
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, k)))
+    return split.select("key", F.array_sort(F.array_distinct(grams)).alias("s"))
+
+
+def signature(s: np.ndarray, slots: int = SLOTS, block: int = 4096) -> np.ndarray:
+    """The least of each of ``slots`` linear hashes over a set of numbers, each hash with a multiplier of its own."""
+    a = np.array([pow(48271, i + 1, PRIME) for i in range(slots)], np.uint64)
+    b = np.array([pow(16807, i + 1, PRIME) for i in range(slots)], np.uint64)
+    x = (s.astype(np.int64) % PRIME).astype(np.uint64)
+    lows = [((x[lo : lo + block, None] * a + b) % np.uint64(PRIME)).min(axis=0) for lo in range(0, len(x), block)]
+    return np.minimum.reduce(lows).astype(np.int64)
 
 
 def signatures(sets: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(key, sig): the least of each of ``slots`` linear hashes over a set (key, s), each with a multiplier of its own.
+    """(key, sig) of sets (key, s), in Arrow batches; a set's hashes are made a block at a time."""
+    ship(sets.sparkSession)
 
-    Minima are combined per text before the shuffle, so no set meets in one row again.
-    """
-    each = sets.select("key", F.explode("s").alias("x")).select("key", F.pmod("x", F.lit(PRIME)).alias("x"))
-    lows = [F.min((F.col("x") * pow(48271, i + 1, PRIME) + pow(16807, i + 1, PRIME)) % PRIME).alias(f"m{i}") for i in range(slots)]
-    return each.groupBy("key").agg(*lows).select("key", F.array(*[f"m{i}" for i in range(slots)]).alias("sig"))
+    def batch(col):
+        return col.map(lambda s: signature(np.asarray(s), slots))
+
+    import pandas as pd
+
+    batch.__annotations__ = {"col": pd.Series, "return": pd.Series}
+    return sets.select("key", F.pandas_udf(batch, T.ArrayType(T.LongType()))("s").alias("sig"))
 
 
 def candidates(sig: DataFrame, bands: int = BANDS) -> DataFrame:
@@ -71,7 +81,7 @@ def minhash_pairs(df: DataFrame, key: str, text: str, scratch: Scratch, threshol
     Signatures only find candidates; the sets decide. Texts of equal sets are one class named by its least key and
     linked to its members; other pairs are between classes.
     """
-    sets = scratch.stage(shingle_sets(df, key, text, k).withColumn("c", F.struct(F.xxhash64(F.array_sort("s")).alias("x"), F.xxhash64(F.lit(1), F.array_sort("s")).alias("y"))))
+    sets = scratch.stage(shingle_sets(df, key, text, k).withColumn("c", F.struct(F.xxhash64("s").alias("x"), F.xxhash64(F.lit(1), "s").alias("y"))))
     classes = scratch.stage(sets.groupBy("c").agg(F.min("key").alias("a"), F.count("*").alias("n")))
     members = sets.join(classes.where("n > 1"), "c").where("key <> a").select("a", F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
     own = scratch.stage(sets.join(classes.select(F.col("a").alias("key")), "key", "left_semi").select("key", "s"))

@@ -17,6 +17,8 @@ _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
 _STAGED: dict[str, list[str]] = {}
 _BATCH_KEY, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4194304b"
+#: Bytes of a staged file's row groups: a file that one task wrote can be read by several.
+_ROW_GROUP = 8 << 20
 _CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -108,7 +110,7 @@ class Scratch:
         self._n += 1
         path = f"{self.path}/t{self._n}"
         with self._tidy():
-            df.write.option("compression", compression).parquet(path)
+            df.write.option("compression", compression).option("parquet.block.size", _ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out
