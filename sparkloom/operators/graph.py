@@ -127,10 +127,11 @@ def strongly_connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): nodes that reach each other, named by the least.
 
     After a trim each node is coloured by the least node that reaches it; what reaches that node within the colour is
-    its component. The rest goes into the next round. No pairs of nodes are made.
+    its component. The rest goes into the next round. No pairs of nodes are made; a node with an edge to itself alone is
+    a component of its own.
     """
-    edges = scratch.stage(clean(edges))
-    left, found = trim(edges, scratch), None
+    given = scratch.stage(clean(edges, loops=True))
+    left, found = trim(given, scratch), None
     while not left.isEmpty():
         colour = _least_reaching(left, scratch)
         inner = left.join(colour.toDF("src", "component"), "src").join(colour.toDF("dst", "other"), "dst").where("component = other")
@@ -145,8 +146,8 @@ def strongly_connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         rest = inner.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
         left = trim(rest, scratch)
     if found is None:
-        return nodes(edges).select("node", F.col("node").alias("component"))
-    return nodes(edges).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        return nodes(given).select("node", F.col("node").alias("component"))
+    return nodes(given).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def fold(edges: DataFrame, parts: DataFrame) -> DataFrame:
