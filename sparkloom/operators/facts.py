@@ -67,7 +67,7 @@ def callers(symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFra
     """(file, name, caller_file, caller_symbol, line): who calls a symbol, the union of five ways to resolve a call.
 
     Already resolved; unqualified in the same file; by an imported name or alias; by an imported module as
-    qualifier; by self in the file.
+    qualifier; by self in the file, where symbols have a ``parent`` only among methods of the caller's own class.
     """
     target = symbols.select("file", "name")
     call = calls.select("caller_file", "caller_symbol", F.col("callee_name").alias("callee"), F.col("callee_qualifier").alias("q"), "callee_resolved_file", "line")
@@ -78,8 +78,15 @@ def callers(symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFra
         call.where("q is null").join(target, (call["caller_file"] == target["file"]) & (call["callee"] == target["name"])),
         call.join(bound, "caller_file").where("callee = local").join(target, (F.col("resolved_file") == target["file"]) & (F.col("original") == target["name"])),
         call.join(bound, "caller_file").where("q = module").join(target, (F.col("resolved_file") == target["file"]) & (F.col("callee") == target["name"])),
-        call.where("q = 'self'").join(target, (call["caller_file"] == target["file"]) & (call["callee"] == target["name"])),
     ]
+    mine = call.where("q = 'self'")
+    if "parent" in symbols.columns:
+        methods = symbols.where("parent is not null")
+        mine = mine.join(methods.select(F.col("file").alias("caller_file"), F.col("name").alias("caller_symbol"), F.col("parent").alias("own")).distinct(), ["caller_file", "caller_symbol"])
+        fellow = methods.select("file", "name", "parent")
+        ways.append(mine.join(fellow, (mine["caller_file"] == fellow["file"]) & (mine["callee"] == fellow["name"]) & (mine["own"] == fellow["parent"])))
+    else:
+        ways.append(mine.join(target, (mine["caller_file"] == target["file"]) & (mine["callee"] == target["name"])))
     return reduce(DataFrame.unionByName, [w.select(*out) for w in ways]).distinct()
 
 

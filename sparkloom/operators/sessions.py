@@ -92,18 +92,6 @@ def heatmap(events: DataFrame) -> DataFrame:
     return out.withColumn("heat", F.when(F.col("writes") > 5, "hot").when((F.col("writes") == 0) & (F.col("reads") > 0), "read-only").otherwise("normal"))
 
 
-def error_class(message: Column) -> Column:
-    """A message's class: the first family any of whose words it contains."""
-    families = (("permission", ("permission", "denied")), ("not_found", ("not found", "no such")), ("timeout", ("timeout", "timed out")), ("syntax", ("syntax", "parse")), ("network", ("network", "connection")), ("exit_code", ("exit code", "status")))
-    text, out = F.lower(message), None
-    for name, words in families:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | text.contains(w)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("other")
-
-
 def summary(events: DataFrame) -> DataFrame:
     """(session, turns, calls, errors, seconds) with the time from first to last event."""
     t = F.unix_timestamp("ts")

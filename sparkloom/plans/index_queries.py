@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import globs
-from sparkloom.operators import index
+from sparkloom.operators import facts, index
 from sparkloom.plans.fact_tables import TABLES, sql, table
 from sparkloom.plans.registry import ORACLES, QUERIES, query
 
@@ -110,6 +110,16 @@ def callees_resolved(spark, d):
     return index.callees_resolved(table(spark, d, "calls"), table(spark, d, "imports"))
 
 
+@query(sql("symbols imports calls", """, b AS (SELECT file AS f, resolved_file, name AS original, coalesce(alias, name) AS loc, module FROM imports), ca AS (SELECT caller_file, caller_symbol, callee_name AS c, callee_qualifier AS q, callee_resolved_file AS rf, line FROM calls)
+SELECT file, name, caller_file, caller_symbol, line FROM ca JOIN symbols ON rf = file AND c = name
+UNION SELECT file, name, caller_file, caller_symbol, line FROM ca JOIN symbols ON q IS NULL AND caller_file = file AND c = name
+UNION SELECT file, s.name, caller_file, caller_symbol, line FROM ca JOIN b ON caller_file = f AND c = loc JOIN symbols s ON resolved_file = file AND original = s.name
+UNION SELECT file, s.name, caller_file, caller_symbol, line FROM ca JOIN b ON caller_file = f AND q = module JOIN symbols s ON resolved_file = file AND c = s.name
+UNION SELECT t.file, t.name, caller_file, caller_symbol, line FROM ca JOIN symbols o ON q = 'self' AND o.file = caller_file AND o.name = caller_symbol JOIN symbols t ON t.file = caller_file AND t.name = c AND t.parent = o.parent"""))
+def callers_by_class(spark, d):
+    return facts.callers(table(spark, d, "symbols"), table(spark, d, "imports"), table(spark, d, "calls"))
+
+
 @query(sql("imports", "SELECT file, name, alias, line, module FROM imports WHERE name = 'blue_bolt'"))
 def symbol_importers(spark, d):
     return index.symbol_importers(table(spark, d, "imports"), "blue_bolt")

@@ -180,10 +180,15 @@ _COS = "CASE WHEN list_dot_product(q.v, q.v) * list_dot_product(x.v, x.v) = 0 TH
 _VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
+#: Bytes of query vectors that are broadcast at most.
+_QUERY_BYTES = 32 << 20
+
+
 def _queries_and_vectors(spark, d):
     e = load(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q), F.lit(True)) if q.limit(100_001).count() <= 100_000 else e.join(q, F.lit(True))  # a stated query set against all rows
+    size = q.agg(F.sum(F.size("q") * 8)).first()[0] or 0
+    return e.join(F.broadcast(q) if size <= _QUERY_BYTES else q, F.lit(True))  # a stated query set against all rows
 
 
 @query(f"WITH {_VEC}, s AS (SELECT q.vec_id AS query, x.vec_id, round({_COS}, 6) AS score FROM v q CROSS JOIN v x WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM s) SELECT query, vec_id, score FROM r WHERE r <= 10")
