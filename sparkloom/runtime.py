@@ -105,8 +105,9 @@ class Scratch:
         finally:
             self.spark.conf.set(_CLEAN_KEY, before)
 
-    def stage(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
-        """Write a table now and read it back."""
+    def stage(self, df: DataFrame, compression: str = "zstd", slim: bool = False) -> DataFrame:
+        """Write a table now and read it back. ``slim``: rows are few bytes each of a large scan, and go to files of an even size instead of one for each split."""
+        df = df.hint("rebalance") if slim else df
         self._n += 1
         path = f"{self.path}/t{self._n}"
         with self._tidy():
