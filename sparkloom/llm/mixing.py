@@ -184,7 +184,7 @@ def _draw(df: DataFrame, key: str, text: str, source: str, carry: list[str], wei
         F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("__h"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)],
     )
     if not carry:
-        rows = scratch.stage(rows)
+        rows = scratch.stage(rows, slim=True)
     sources, rowcount = _plan(rows.select("__src", "__size"), scratch, weights, share, shards, seed)
     buckets = max(1, -(-rowcount // max(512, -(-rowcount // 65_536))))
     cut = rows.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))

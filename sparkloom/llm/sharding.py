@@ -94,7 +94,7 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     scratch = Scratch(df.sparkSession, "shard")
     body = F.coalesce(F.col(text), F.lit(""))
     base = df.select(F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.sha2(body, 256)).alias("digest"))
-    base = scratch.stage(base.withColumn("label", F.pmod(F.xxhash64("key", "digest"), F.lit(shards)).cast("int")))
+    base = scratch.stage(base.withColumn("label", F.pmod(F.xxhash64("key", "digest"), F.lit(shards)).cast("int")), slim=True)
     n = base.count()
     quotas = [n // shards + (d < n % shards) for d in range(shards)]
     groups = base.groupBy("digest").agg(F.count("*").alias("n"), F.array(*[F.sum((F.col("label") == d).cast("long")) for d in range(shards)]).alias("loads")).where("n > 1")

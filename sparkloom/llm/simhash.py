@@ -173,7 +173,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     table gives none. Other columns of ``df``, whatever their names, take no part.
     """
     scratch = Scratch(df.sparkSession, "simhash")
-    rows = scratch.stage(fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "fp", k).select("key", "fp"))
+    rows = scratch.stage(fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "fp", k).select("key", "fp"), slim=True)
     fps = scratch.stage(rows.groupBy("fp").agg(F.min("key").alias("least")))
     named = scratch.stage(_components(fps, distance, scratch))
     ids = named.groupBy("component_fp").agg(F.min("least").alias("component_id"))
@@ -191,7 +191,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     scratch = Scratch(df.sparkSession, "keep")
     hashes = [F.xxhash64(F.lit(i), F.col(key), F.col(text)).alias(f"h{i}") for i in (1, 2)]
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *hashes)
-    rows = scratch.stage(fingerprint(slim, "text", "fp", k).select("key", "fp", "h1", "h2"))
+    rows = scratch.stage(fingerprint(slim, "text", "fp", k).select("key", "fp", "h1", "h2"), slim=True)
     rank = F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"))
     fps = scratch.stage(rows.groupBy("fp").agg(F.min(rank).alias("least")))
     best = _components(fps, distance, scratch).groupBy("component_fp").agg(F.min(F.struct("least.n", "least.k", "fp")).alias("best"))
