@@ -61,7 +61,8 @@ def chat_blocks(files: DataFrame, session: str = "path", text: str = "value") ->
     A content that is plain text is one block of type text.
     """
     known = files.select(F.col(session).alias("session"), F.col(text).alias("x"), detect_format(F.col(text)).alias("format")).where("format is not null")
-    plain = lambda c: F.regexp_replace(c, r'"content":\s*("(?:[^"\\]|\\.)*")', r'"content":[{"type":"text","text":$1}]')
+    # Possessive: a text of any length is matched in a loop, without a stack frame for each character.
+    plain = lambda c: F.regexp_replace(c, r'"content":\s*+("(?:[^"\\]++|\\.)*+")', r'"content":[{"type":"text","text":$1}]')
     message = f"role string, content array<struct<{_BLOCK}>>"
     lines = known.where("format in ('message_lines', 'rollout', 'chat_lines')").select("session", "format", F.posexplode(F.split("x", "\n")).alias("n", "line")).where("trim(line) <> ''")
     a = lines.where("format = 'message_lines'").withColumn("m", F.from_json(plain(F.col("line")), f"message struct<{message}>")["message"])
