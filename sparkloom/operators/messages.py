@@ -106,18 +106,36 @@ def fuzzy_id(sessions: DataFrame, text: str) -> DataFrame:
     return sessions.withColumn("tier", tier).orderBy("tier", i).limit(1)
 
 
+def _first_two(df: DataFrame, by: list[str]) -> DataFrame:
+    """Of (by, session, ts), a session once in a group, the two earliest of each group; ties by the least session.
+
+    The least comes from an aggregate that is combined before its shuffle, the second from what is left.
+    """
+    least = lambda x: x.groupBy(*by).agg(F.min(F.struct("ts", "session")).alias("m")).select(*by, "m.ts", "m.session")
+    first = least(df)
+    rest = df.join(first.select(*by, F.col("session").alias("taken")), by).where("session <> taken").drop("taken")
+    return first.unionByName(least(rest))
+
+
 def attribute_chunks(chunks: DataFrame, edits: DataFrame, least: int = 6) -> DataFrame:
     """(chunk, status, session): chunks of committed text by the one edit before the commit that holds them, or that they hold.
 
     ``chunks`` is (chunk, path, at, text), ``edits`` (session, path, ts, text). One session found is matched, none
-    unattributed, several ambiguous; texts of fewer than ``least`` letters and digits are too short to match. Chunks
-    and edits meet under their path.
+    unattributed, several ambiguous; texts of fewer than ``least`` letters and digits are too short to match. Distinct
+    texts meet under their path, each once; a text keeps the moments from which one session, and from which a second
+    one, can have written it, so chunks and edits never meet one by one.
     """
     flat = lambda c: texts.squeeze(F.col(c))
-    a = chunks.where(texts.meaningful(F.col("text")) >= least).select("chunk", "path", "at", flat("text").alias("x"))
-    b = edits.where(texts.meaningful(F.col("text")) >= least).select("session", "path", "ts", flat("text").alias("y"))
-    hit = a.join(b, "path").where((F.col("ts") <= F.col("at")) & (F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x"))))
-    found = hit.groupBy("chunk").agg(F.countDistinct("session").alias("n"), F.min("session").alias("session"))
+    a = chunks.where(texts.meaningful(F.col("text")) >= least).select("chunk", "path", "at", flat("text").alias("x")).where("at is not null")
+    b = edits.where(texts.meaningful(F.col("text")) >= least).where("session is not null and ts is not null")
+    b = b.groupBy("session", "path", flat("text").alias("y")).agg(F.min("ts").alias("ts"))
+    written = _first_two(b, ["path", "y"])
+    alike = a.select("path", "x").distinct().join(written.select("path", "y").distinct(), "path").where(F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x")))
+    since = _first_two(alike.join(written, ["path", "y"]).groupBy("path", "x", "session").agg(F.min("ts").alias("ts")), ["path", "x"])
+    since = since.groupBy("path", "x").agg(F.min("ts").alias("one"), F.max("ts").alias("two"), F.min(F.struct("ts", "session")).alias("first"), F.count("*").alias("k"))
+    hit = a.join(since, ["path", "x"]).where("one <= at")
+    found = hit.select("chunk", F.when((F.col("k") > 1) & (F.col("two") <= F.col("at")), 2).otherwise(1).alias("k"), F.col("first.session").alias("session"))
+    found = found.groupBy("chunk").agg(F.when(F.min("session") != F.max("session"), 2).otherwise(F.max("k")).alias("n"), F.min("session").alias("session"))
     out = chunks.select("chunk").join(found, "chunk", "left")
     status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("unattributed")
     return out.select("chunk", status.alias("status"), F.when(F.col("n") == 1, F.col("session")).alias("session"))
