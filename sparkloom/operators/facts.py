@@ -68,22 +68,24 @@ def callers(symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFra
 
     Already resolved; unqualified in the same file; by an imported name or alias; by an imported module as
     qualifier; by self in the file, where symbols have a ``parent`` only among methods of the caller's own class.
+    The result is distinct, so repeated symbols and imports go before the joins, where they would multiply.
     """
-    target = symbols.select("file", "name")
+    target = symbols.select("file", "name").distinct()
     call = calls.select("caller_file", "caller_symbol", F.col("callee_name").alias("callee"), F.col("callee_qualifier").alias("q"), "callee_resolved_file", "line")
     out = ["file", "name", "caller_file", "caller_symbol", "line"]
     bound = imports.select(F.col("file").alias("caller_file"), "resolved_file", F.col("name").alias("original"), F.coalesce("alias", "name").alias("local"), "module")
+    named, whole = (bound.select("caller_file", "resolved_file", *c).distinct() for c in (("original", "local"), ("module",)))
     ways = [
         call.join(target, (call["callee_resolved_file"] == target["file"]) & (call["callee"] == target["name"])),
         call.where("q is null").join(target, (call["caller_file"] == target["file"]) & (call["callee"] == target["name"])),
-        call.join(bound, "caller_file").where("callee = local").join(target, (F.col("resolved_file") == target["file"]) & (F.col("original") == target["name"])),
-        call.join(bound, "caller_file").where("q = module").join(target, (F.col("resolved_file") == target["file"]) & (F.col("callee") == target["name"])),
+        call.join(named, "caller_file").where("callee = local").join(target, (F.col("resolved_file") == target["file"]) & (F.col("original") == target["name"])),
+        call.join(whole, "caller_file").where("q = module").join(target, (F.col("resolved_file") == target["file"]) & (F.col("callee") == target["name"])),
     ]
     mine = call.where("q = 'self'")
     if "parent" in symbols.columns:
         methods = symbols.where("parent is not null")
         mine = mine.join(methods.select(F.col("file").alias("caller_file"), F.col("name").alias("caller_symbol"), F.col("parent").alias("own")).distinct(), ["caller_file", "caller_symbol"])
-        fellow = methods.select("file", "name", "parent")
+        fellow = methods.select("file", "name", "parent").distinct()
         ways.append(mine.join(fellow, (mine["caller_file"] == fellow["file"]) & (mine["callee"] == fellow["name"]) & (mine["own"] == fellow["parent"])))
     else:
         ways.append(mine.join(target, (mine["caller_file"] == target["file"]) & (mine["callee"] == target["name"])))
