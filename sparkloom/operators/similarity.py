@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkloom.operators.components import connected_components
 from sparkloom.runtime import Scratch, ship
@@ -134,15 +134,18 @@ def without_patterns(pairs: DataFrame, files: DataFrame, scratch: Scratch, most_
     return named.join(wide.join(many, "cluster").select("cluster"), "cluster", "left_anti").select("a", "b", "similarity")
 
 
-def outermost(blocks: DataFrame, cell: int = 256) -> DataFrame:
+def outermost(blocks: DataFrame) -> DataFrame:
     """Groups of equal blocks (id, file, start, end) without blocks that a longer one of the file holds; groups of one block left go.
 
-    Blocks and those that may hold them meet by file and cell of lines.
+    A longer block that holds one starts before it and ends no earlier, or starts with it and ends later: the last end by
+    start, and the running one of all starts before, decide without pairs of blocks.
     """
     b = blocks.select("id", "file", "start", "end")
-    spans = b.select(F.col("id").alias("id2"), "file", F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell))).alias("cell"))
-    inside = b.withColumn("cell", F.floor(F.col("start") / cell)).join(spans, ["file", "cell"]).where("s2 <= start and e2 >= end and e2 - s2 > end - start").select("id", "file", "start", "end").distinct()
-    left = b.join(inside, ["id", "file", "start", "end"], "left_anti")
+    last = b.where("file is not null and start is not null").groupBy("file", "start").agg(F.max("end").alias("last"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each start
+    last = last.withColumn("earlier", F.max("last").over(before))
+    held = F.coalesce(F.col("last") > F.col("end"), F.lit(False)) | F.coalesce(F.col("earlier") >= F.col("end"), F.lit(False))
+    left = b.join(last, ["file", "start"], "left").where(~held).select("id", "file", "start", "end")
     return left.join(left.groupBy("id").agg(F.count("*").alias("n")).where("n >= 2").select("id"), "id", "left_semi")
 
 
