@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import sessions, text
+from sparkloom.operators import sessions, text, vectors
 from sparkloom.plans.registry import query
 from sparkloom.runtime import load
 
@@ -180,24 +180,10 @@ _COS = "CASE WHEN list_dot_product(q.v, q.v) * list_dot_product(x.v, x.v) = 0 TH
 _VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
-#: Bytes of query vectors that are broadcast at most.
-_QUERY_BYTES = 32 << 20
-
-
-def _queries_and_vectors(spark, d):
-    e = load(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    size = q.agg(F.sum(F.size("q") * 8)).first()[0] or 0
-    return e.join(F.broadcast(q) if size <= _QUERY_BYTES else q, F.lit(True))  # a stated query set against all rows
-
-
 @query(f"WITH {_VEC}, s AS (SELECT q.vec_id AS query, x.vec_id, round({_COS}, 6) AS score FROM v q CROSS JOIN v x WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM s) SELECT query, vec_id, score FROM r WHERE r <= 10")
 def knn_cosine(spark, d):
-    from pyspark.sql import Window
-
-    s = _queries_and_vectors(spark, d).select("query", "vec_id", F.round(text.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    return s.withColumn("r", r).where("r <= 10").drop("r")
+    e = load(spark, d, "embeddings")
+    return vectors.nearest(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), "vec_id", "embedding")
 
 
 @query(f"WITH {_VEC} SELECT x.vec_id, round({_COS} * (1 - 0.3 * ((x.vec_id % 10) / 10)), 6) AS score FROM v q CROSS JOIN v x WHERE q.vec_id = 0 ORDER BY score DESC, x.vec_id LIMIT 20")
