@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkloom.runtime import Scratch
 
+#: Up to so many resolved kinds of calls go to every task, and their places by number; of more, the calls are moved to them.
+_BROADCAST_KINDS = 20_000
+
 
 def search(symbols: DataFrame, text: str, fuzzy: bool = True, kind: str | None = None, limit: int = 50) -> DataFrame:
     """Symbols by name without case: exact first, then prefixes, then the rest, shorter names first."""
@@ -63,33 +66,46 @@ def external_surface(symbols: DataFrame, calls: DataFrame, imports: DataFrame) -
     return symbols.where("visibility = 'public'").join(called, "name", "left_semi").select("file", "name").distinct()
 
 
-def callers(symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
+def callers(symbols: DataFrame, imports: DataFrame, calls: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(file, name, caller_file, caller_symbol, line): who calls a symbol, the union of five ways to resolve a call.
 
     Already resolved; unqualified in the same file; by an imported name or alias; by an imported module as
     qualifier; by self in the file, where symbols have a ``parent`` only among methods of the caller's own class.
-    The result is distinct, so repeated symbols and imports go before the joins, where they would multiply.
+    The result is distinct, so repeated symbols and imports go before the joins, where they would multiply. Calls
+    that differ in nothing but line (and symbol, without a ``parent``) resolve alike: each such kind is resolved
+    once and staged, so the calls are scanned twice and meet one table, whatever the ways.
     """
+    scratch = scratch or Scratch(calls.sparkSession, "callers")
+    classes = "parent" in symbols.columns
     target = symbols.select("file", "name").distinct()
     call = calls.select("caller_file", "caller_symbol", F.col("callee_name").alias("callee"), F.col("callee_qualifier").alias("q"), "callee_resolved_file", "line")
-    out = ["file", "name", "caller_file", "caller_symbol", "line"]
+    by = ["caller_file", "callee", "q", "callee_resolved_file"] + ["caller_symbol"] * classes
+    kind = scratch.stage(call.select(*by).distinct())
     bound = imports.select(F.col("file").alias("caller_file"), "resolved_file", F.col("name").alias("original"), F.coalesce("alias", "name").alias("local"), "module")
     named, whole = (bound.select("caller_file", "resolved_file", *c).distinct() for c in (("original", "local"), ("module",)))
     ways = [
-        call.join(target, (call["callee_resolved_file"] == target["file"]) & (call["callee"] == target["name"])),
-        call.where("q is null").join(target, (call["caller_file"] == target["file"]) & (call["callee"] == target["name"])),
-        call.join(named, "caller_file").where("callee = local").join(target, (F.col("resolved_file") == target["file"]) & (F.col("original") == target["name"])),
-        call.join(whole, "caller_file").where("q = module").join(target, (F.col("resolved_file") == target["file"]) & (F.col("callee") == target["name"])),
+        kind.join(target, (kind["callee_resolved_file"] == target["file"]) & (kind["callee"] == target["name"])),
+        kind.where("q is null").join(target, (kind["caller_file"] == target["file"]) & (kind["callee"] == target["name"])),
+        kind.join(named, "caller_file").where("callee = local").join(target, (F.col("resolved_file") == target["file"]) & (F.col("original") == target["name"])),
+        kind.join(whole, "caller_file").where("q = module").join(target, (F.col("resolved_file") == target["file"]) & (F.col("callee") == target["name"])),
     ]
-    mine = call.where("q = 'self'")
-    if "parent" in symbols.columns:
+    mine = kind.where("q = 'self'")
+    if classes:
         methods = symbols.where("parent is not null")
         mine = mine.join(methods.select(F.col("file").alias("caller_file"), F.col("name").alias("caller_symbol"), F.col("parent").alias("own")).distinct(), ["caller_file", "caller_symbol"])
         fellow = methods.select("file", "name", "parent").distinct()
         ways.append(mine.join(fellow, (mine["caller_file"] == fellow["file"]) & (mine["callee"] == fellow["name"]) & (mine["own"] == fellow["parent"])))
     else:
         ways.append(mine.join(target, (mine["caller_file"] == target["file"]) & (mine["callee"] == target["name"])))
-    return reduce(DataFrame.unionByName, [w.select(*out) for w in ways]).distinct()
+    found = scratch.stage(reduce(DataFrame.unionByName, [w.select(*by, "file", "name") for w in ways]).distinct())
+    meets = lambda a, b, on: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in on])
+    if found.count() > _BROADCAST_KINDS:
+        return call.join(found, meets(call, found, by)).select("file", "name", call["caller_file"], call["caller_symbol"], "line").distinct()
+    place = ["caller_file", "file", "name"]
+    places = scratch.stage(found.select(*place).distinct().withColumn("place", F.monotonically_increasing_id()))
+    numbered = found.join(F.broadcast(places), meets(found, places, place)).select(*(found[c] for c in by), "place")
+    hits = call.join(F.broadcast(numbered), meets(call, numbered, by)).select("place", call["caller_symbol"], "line").distinct()
+    return hits.join(F.broadcast(places), "place").select("file", "name", "caller_file", "caller_symbol", "line")
 
 
 def resolve_calls(symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
