@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from sparkloom.runtime import Scratch, give_back, ship
+from sparkloom.runtime import Scratch, give_back, partitions, ship, short_batches
 
 WEIGHTS, SHARE, REPEAT, SHARDS, SEED = (5, 2, 1), 1.5, 2, 16, 7
 BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 256, 256, 400_000_000
 #: Sources that one task splits; the driver sees one number a group and shard.
 GROUP_SOURCES = 4096
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes that are part of a word.
+_INSIDE = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
 _PIECES = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("shard", "local", "start", "end")]))
 
 
@@ -121,6 +123,32 @@ def _pieces(plan: dict[int, _Source], owners: np.ndarray, offsets: np.ndarray, s
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
 
 
+def words(texts: pa.StringArray | pa.LargeStringArray) -> np.ndarray:
+    """Matches of WORD in each text, a null one has none. Its white space is ASCII, so bytes tell."""
+    n, (_, ends, data) = len(texts), texts.buffers()
+    if not n or data is None:
+        return np.zeros(n, np.int64)
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    inside = _INSIDE[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = ends[:-1][ends[:-1] < ends[1:]] - ends[0]
+    first[heads] = inside[heads]
+    return np.diff(np.searchsorted(np.flatnonzero(first), ends - ends[0]))
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the words of their texts in place of these."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(words(b.column(0)), pa.int64()), *b.columns[1:]], ["__size", *b.schema.names[1:]])
+
+
+def _files(df: DataFrame) -> int:
+    """Files for the slim rows of a scan of texts: one for 512 MB that it reads, but one for each core at least."""
+    read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(partitions(df.sparkSession), max(df.sparkSession.sparkContext.defaultParallelism, read >> 29))
+
+
 def _plan(rows: DataFrame, scratch: Scratch, weights: tuple, share: float, shards: int, seed: int) -> tuple[DataFrame, int]:
     """(__src, index, size, target, block, quota, ends) for each source of rows (__src, __size), and the number of rows."""
     order = [(F.col("__src") == "n").asc(), F.col("__src").asc()]
@@ -179,12 +207,14 @@ def _draw(df: DataFrame, key: str, text: str, source: str, carry: list[str], wei
     ship(spark)
     scratch = Scratch(spark, "mix")
     name = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
-    rows = df.select(
-        F.col(key).alias("__key"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("__size"), name.alias("__src"),
-        F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("__h"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)],
-    )
-    if not carry:
-        rows = scratch.stage(rows, slim=True)
+    body, rest = F.coalesce(F.col(text), F.lit("")), [F.col(key).alias("__key"), name.alias("__src"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("__h")]
+    if carry:
+        rows = df.select(F.regexp_count(body, F.lit(WORD)).cast("long").alias("__size"), *rest, *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    else:  # counted in numpy: matches of a regular expression fill the heap of the JVM with an object a word
+        slim = df.select(body.alias("__text"), *rest)
+        kinds = T.StructType([T.StructField("__size", T.LongType()), *slim.schema.fields[1:]])
+        with short_batches(spark):
+            rows = scratch.stage(slim.mapInArrow(_sized, kinds).repartition(_files(slim)))
     sources, rowcount = _plan(rows.select("__src", "__size"), scratch, weights, share, shards, seed)
     buckets = max(1, -(-rowcount // max(512, -(-rowcount // 65_536))))
     cut = rows.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
